@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import join_keys
-from .prefix import BUCKET, add_bucket, running
+from .prefix import place, running
 
 
 def life_table(df: DataFrame, time: str, cens: str, by=()) -> DataFrame:
@@ -20,16 +19,17 @@ def life_table(df: DataFrame, time: str, cens: str, by=()) -> DataFrame:
     """
     by = list(by)
     live = df.where(F.col(time).isNotNull() & F.col(cens).isNotNull())
+    # Both counts travel in one array, so every later branch reads the same shuffle.
     cells = live.groupBy(*by, time).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(F.col(cens).cast("long")).alias("n_event"))
-    placed = add_bucket(cells, by, time, live)
-    sizes = cells.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    seen = join_keys(running(placed, by, [time], {"_past": "_n"}, before=True), sizes, by)
+        F.array(F.count(F.lit(1)), F.sum(F.col(cens).cast("long"))).alias("_nd"))
+    placed = place(cells, by, time, F.element_at("_nd", 1)).withColumns({
+        "_n": F.element_at("_nd", 1), "n_event": F.element_at("_nd", 2)}).drop("_nd")
+    seen = running(placed, [time], {"_past": "_n"}, before=True, whole={"_size": "_n"})
     risk = seen.withColumn("n_risk", F.col("_size") - F.col("_past")).withColumns({
         "_last": F.col("n_event") == F.col("n_risk"),
         "_haz": F.col("n_event") / F.col("n_risk"),
     }).withColumn("_log", F.when(F.col("_last"), F.lit(0.0)).otherwise(F.log1p(-F.col("_haz"))))
-    acc = running(risk, by, [time], {"_cumlog": "_log", "cumhaz": "_haz"})
+    acc = running(risk, [time], {"_cumlog": "_log", "cumhaz": "_haz"})
     return acc.select(
         *by, time, "n_risk", "n_event", (F.col("_n") - F.col("n_event")).alias("n_censor"),
         F.when(F.col("_last"), F.lit(0.0)).otherwise(F.exp("_cumlog")).alias("surv"),

@@ -1,43 +1,21 @@
-"""Join helpers that stay correct with NULL keys and balanced with hot keys."""
+"""Join helper that stays correct with NULL keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key holding more than 1/HOT_SHARE of the weight is "hot"; there are fewer than
-# HOT_SHARE such keys whatever the data, which is what makes broadcasting them safe.
-HOT_SHARE = 1000
-
 
 def join_keys(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` where NULL matches NULL; keeps the left key columns."""
+    """Equi-join on ``keys`` where NULL matches NULL; keeps the left key columns.
+
+    No side is hinted: Spark broadcasts a side only after measuring it, and splits
+    the partitions of a hot key otherwise (adaptive skew join).
+    """
     keys = list(keys)
     if not keys:
         # One side is a one-row aggregate over the whole input.
         return left.crossJoin(F.broadcast(right))
-    renamed = right
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"_r_{k}")
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(renamed[f"_r_{k}"])
-        cond = c if cond is None else cond & c
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
-
-
-def hot_join(rows: DataFrame, cells: DataFrame, keys, weight: str) -> DataFrame:
-    """Inner-join ``rows`` to one-row-per-key ``cells`` when keys may be very uneven.
-
-    ``weight`` is the column of ``cells`` with the number of rows behind each key.
-    Keys above 1/HOT_SHARE of the total are at most HOT_SHARE many, so they are
-    broadcast and their rows never move; the other keys take the shuffle join.
-    """
-    keys = list(keys)
-    bar = cells.agg((F.sum(weight) / F.lit(HOT_SHARE)).alias("_bar"))
-    marked = cells.crossJoin(F.broadcast(bar))
-    hot = F.broadcast(marked.where(F.col(weight) > F.col("_bar")).drop("_bar"))
-    cold = marked.where(F.col(weight) <= F.col("_bar")).drop("_bar")
-    in_hot = join_keys(rows, hot, keys)
-    rest = join_keys(rows, hot.select(*keys), keys, "left_anti")
-    return in_hot.unionByName(join_keys(rest, cold, keys).select(*in_hot.columns))
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])

@@ -1,20 +1,22 @@
 """Distributed prefix sums, ranks and exact quantiles.
 
-A cumulative window without a partition key would bring every row to one task.
-Here rows are cut into key ranges, summed inside each range, and shifted by the
-total of the ranges before. Only the range totals (a fixed number per group)
-meet in one place.
+A cumulative window without a partition key would bring every row to one task, and
+one partitioned by a hot group would bring that group to one task. Here rows are
+cut into key ranges inside each group, summed inside each range, and shifted by the
+total of the ranges before. Only the range totals (a fixed number per group) meet
+in one place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import search_left
 from .joins import join_keys
 
 BUCKET = "_bucket"
+GROUP = "_group"
 
 
 def bucket_count(df: DataFrame, per_group: bool) -> int:
@@ -23,41 +25,53 @@ def bucket_count(df: DataFrame, per_group: bool) -> int:
     return max(4, min(n, 64) if per_group else n)
 
 
-def add_bucket(df: DataFrame, by, key: str, source: DataFrame | None = None,
-               buckets: int | None = None) -> DataFrame:
-    """Add ``_bucket``: the range of ``key`` (numeric) a row falls into, per group.
+def place(cells: DataFrame, by, key: str, touch: Column | None = None,
+          buckets: int | None = None) -> DataFrame:
+    """Add ``_bucket`` (key range of the row inside its group) and, with groups, ``_group``.
 
-    The range ends come from a mergeable quantile sketch over ``source`` (the raw
-    rows when ``df`` is already aggregated), so they need one map-side-combined
-    scan. They steer balance only: any split gives the same final result.
+    ``_group`` packs the group columns in a struct, so that later joins and windows
+    share one hash partitioning and NULL groups match. The range ends come from a
+    mergeable quantile sketch of the cells; they steer balance only, any split gives
+    the same result. ``touch`` names the payload, so that the sketch reads the same
+    columns as the main path and Spark reuses the shuffle that built the cells.
     """
     by = list(by)
-    n = buckets or bucket_count(df, bool(by))
+    n = buckets or bucket_count(cells, bool(by))
+    x = F.col(key).cast("double")
     probs = [i / n for i in range(1, n)]
-    sketch = F.percentile_approx(F.col(key).cast("double"), probs, 20 * n)
-    ends = (source if source is not None else df).groupBy(*by).agg(
-        F.coalesce(F.array_distinct(sketch), F.array().cast("array<double>")).alias("_ends"))
-    placed = join_keys(df, ends, by)
-    return placed.withColumn(BUCKET, search_left(F.col("_ends"), F.col(key).cast("double"))).drop("_ends")
+    seen = x if touch is None else F.when(touch >= 0, x)
+    sketch = F.coalesce(F.array_distinct(F.percentile_approx(seen, probs, 20 * n)),
+                        F.array().cast("array<double>")).alias("_ends")
+    if by:
+        keyed = cells.withColumn(GROUP, F.struct(*by))
+        placed = keyed.join(keyed.groupBy(GROUP).agg(sketch), GROUP)
+    else:
+        placed = cells.crossJoin(F.broadcast(cells.agg(sketch)))  # one row
+    return placed.withColumn(BUCKET, search_left(F.col("_ends"), x)).drop("_ends")
 
 
-def running(df: DataFrame, by, order, sums: dict, before: bool = False) -> DataFrame:
-    """Add running sums to a frame that already has ``_bucket``.
+def running(df: DataFrame, order, sums: dict, before: bool = False, whole: dict | None = None) -> DataFrame:
+    """Add running sums to a placed frame.
 
     ``sums`` maps a new column to the summed column; ``before`` leaves the current
-    row out. ``order`` sorts inside a range and must agree with the range key.
+    row out; ``whole`` maps a new column to a column whose group total is added.
+    ``order`` sorts inside a range and must agree with the range key.
     """
-    by = list(by)
-    keys = by + [BUCKET]
-    totals = df.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    ahead = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    shift = totals.select(*keys, *[
-        F.coalesce(F.sum(f"_t_{n}").over(ahead), F.lit(0)).alias(f"_o_{n}") for n in sums])
-    if not by:
+    whole = whole or {}
+    group = [GROUP] if GROUP in df.columns else []
+    keys = group + [BUCKET]
+    totals = df.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in {**sums, **whole}.items()])
+    ahead = Window.partitionBy(*group).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*group)
+    shift = totals.select(
+        *keys,
+        *[F.coalesce(F.sum(f"_t_{n}").over(ahead), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *[F.sum(f"_t_{n}").over(every).alias(n) for n in whole])
+    if not group:
         shift = F.broadcast(shift)  # one row per range
-    joined = join_keys(df, shift, keys)
-    last = -1 if before else 0
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+    joined = df.join(shift, keys)
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, -1 if before else 0)
     out = joined.withColumns({
         n: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_o_{n}") for n, c in sums.items()})
     return out.drop(*[f"_o_{n}" for n in sums])
@@ -66,50 +80,51 @@ def running(df: DataFrame, by, order, sums: dict, before: bool = False) -> DataF
 def rank_cells(df: DataFrame, by, value: str, weight: str | None = None) -> DataFrame:
     """One row per group and distinct value: size and the rank numbers it gets.
 
-    ``n``: rows with the value, ``below``: rows with a smaller value,
-    ``avg_rank``: average-tie rank, ``min_rank``: first-of-ties rank. Ascending.
+    ``n``: rows with the value, ``below``: rows with a smaller value, ``size``: rows
+    in the group, ``avg_rank``: average-tie rank, ``min_rank``: first-of-ties rank.
     """
     by = list(by)
-    live = df.where(F.col(value).isNotNull())
     count = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    cells = live.groupBy(*by, value).agg(count.alias("n"))
-    cells = running(add_bucket(cells, by, value, live), by, [value], {"below": "n"}, before=True)
-    return cells.drop(BUCKET).withColumns({
-        "avg_rank": F.col("below") + (F.col("n") + 1) / 2.0,
-        "min_rank": F.col("below") + 1,
-    })
+    cells = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(count.alias("n"))
+    placed = place(cells, by, value, F.col("n"))
+    out = running(placed, [value], {"below": "n"}, before=True, whole={"size": "n"})
+    return out.select(*by, value, "n", "size", "below",
+                      (F.col("below") + (F.col("n") + 1) / 2.0).alias("avg_rank"),
+                      (F.col("below") + 1).alias("min_rank"))
+
 
+def row_numbers(df: DataFrame, by, key: str, order, name: str = "position") -> DataFrame:
+    """``row_number`` inside each group without bringing a group to one task.
 
-def group_sizes(df: DataFrame, by, value: str) -> DataFrame:
-    """Rows with and without a value, per group."""
-    return df.groupBy(*by).agg(F.count(value).alias("n_present"),
-                               (F.count(F.lit(1)) - F.count(value)).alias("n_missing"))
+    ``key`` is the numeric leading sort key and ``order`` the full sort.
+    """
+    placed = place(df.withColumn("_one", F.lit(1).cast("long")), by, key)
+    return running(placed, order, {name: "_one"}).drop("_one", BUCKET, GROUP)
 
 
 def quantiles(df: DataFrame, value: str, probs, by=()) -> DataFrame:
-    """Exact linear-interpolation quantiles: columns ``by``, ``prob``, ``value``.
+    """Exact linear-interpolation quantiles: columns ``by``, ``prob_no``, ``prob``, ``value``.
 
     Works on value counts with running totals, so memory does not grow with the
     number of distinct values as it does in the built-in exact percentile.
     """
     by = list(by)
-    live = df.where(F.col(value).isNotNull())
-    cells = rank_cells(live, by, value)
-    sizes = live.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    cells = rank_cells(df, by, value)
     spots = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
                                 for i, p in enumerate(probs)])).alias("_q")
-    placed = join_keys(cells, sizes, by)
-    low = F.floor(F.col("_q.p") * (F.col("_size") - 1))
-    high = F.least(low + 1, F.col("_size") - 1)
-    holds = lambda at: (F.col("below") <= at) & (at < F.col("below") + F.col("n"))
-    hit = placed.select("*", spots).where(holds(low) | holds(high))
-    pick = lambda at, name: F.max(F.when(holds(at), F.col(value))).alias(name)
-    picked = hit.groupBy(*by, "_q").agg(
-        pick(low, "_lo"), pick(high, "_hi"), F.max("_size").alias("_size"))
-    at = F.col("_q.p") * (F.col("_size") - 1)
-    frac = at - F.floor(at)
+    at = F.col("_q.p") * (F.col("size") - 1)
+    low = F.floor(at)
+    high = F.least(low + 1, F.col("size") - 1)
+
+    def holds(spot):
+        return (F.col("below") <= spot) & (spot < F.col("below") + F.col("n"))
+
+    hit = cells.select("*", spots).where(holds(low) | holds(high))
+    picked = hit.groupBy(*by, "_q", "size").agg(
+        F.max(F.when(holds(low), F.col(value))).alias("_lo"),
+        F.max(F.when(holds(high), F.col(value))).alias("_hi"))
     return picked.select(*by, F.col("_q.i").alias("prob_no"), F.col("_q.p").alias("prob"),
-                         (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("value"))
+                         (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (at - low)).alias("value"))
 
 
 def median(df: DataFrame, value: str, by=(), name: str = "median") -> DataFrame:
