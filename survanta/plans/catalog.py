@@ -4,3 +4,4 @@ from .registry import QUERIES, SQL  # noqa: F401
 from . import survival_queries  # noqa: F401
 from . import metric_queries  # noqa: F401
 from . import adapter_queries  # noqa: F401
+from . import standardize_queries  # noqa: F401
