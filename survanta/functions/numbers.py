@@ -18,9 +18,9 @@ def _missing(x: Column) -> Column:
 
 
 def format_number(x: Column) -> Column:
-    """One decimal from 100 on, three below, trailing zeros removed."""
+    """One decimal from 100 on, three below (half to even), trailing zeros removed."""
     x = x.cast("double")
-    text = F.when(F.abs(x) >= 100, F.format_string("%.1f", x)).otherwise(F.format_string("%.3f", x))
+    text = F.when(F.abs(x) >= 100, F.format_string("%.1f", F.bround(x, 1))).otherwise(F.format_string("%.3f", F.bround(x, 3)))
     return F.when(_missing(x), F.lit(NO_DATA)).otherwise(_strip(text))
 
 
@@ -28,7 +28,7 @@ def format_short(x: Column) -> Column:
     """Whole numbers plainly, others with up to two decimals; a dash when missing."""
     x = x.cast("double")
     return F.when(_missing(x), F.lit(DASH)).when(
-        x == F.floor(x), F.floor(x).cast("string")).otherwise(_strip(F.format_string("%.2f", x)))
+        x == F.floor(x), F.floor(x).cast("string")).otherwise(_strip(F.format_string("%.2f", F.bround(x, 2))))
 
 
 def parse_params(text: Column) -> Column:

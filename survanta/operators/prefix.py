@@ -129,3 +129,9 @@ def quantiles(df: DataFrame, value: str, probs, by=()) -> DataFrame:
 
 def median(df: DataFrame, value: str, by=(), name: str = "median") -> DataFrame:
     return quantiles(df, value, [0.5], by).select(*by, F.col("value").alias(name))
+
+
+def group_sizes(df: DataFrame, by, value: str) -> DataFrame:
+    """Rows with and without a value, per group."""
+    return df.groupBy(*by).agg(F.count(value).alias("n_present"),
+                               F.count_if(F.col(value).isNull()).alias("n_missing"))

@@ -5,3 +5,4 @@ from . import survival_queries  # noqa: F401
 from . import metric_queries  # noqa: F401
 from . import adapter_queries  # noqa: F401
 from . import standardize_queries  # noqa: F401
+from . import ranking_queries  # noqa: F401

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -24,23 +21,10 @@ def configure(spark: SparkSession) -> SparkSession:
 def local_session(cpus: str = "8", shuffle: int = 8, memory: str = "12g") -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
     b = (SparkSession.builder.master(f"local[{cpus}]").appName("survanta")
-         .config("spark.ui.enabled", "false").config("spark.driver.memory", memory)
+         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", memory)
          .config("spark.sql.shuffle.partitions", str(shuffle))
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for k, v in SETTINGS.items():
         b = b.config(k, v)
     return b.getOrCreate()
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not shared:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-            shared = tempfile.mkdtemp(prefix="survanta-", dir=os.environ.get("TMPDIR"))
-        sc.setCheckpointDir(shared)
-    return df.checkpoint()
