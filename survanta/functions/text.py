@@ -50,9 +50,12 @@ def words(s: Column) -> Column:
 
 def with_bigrams(words: Column) -> Column:
     """The words followed by each adjacent pair joined with a blank."""
-    firsts = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
-    pairs = F.transform(firsts, lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
-    return F.concat(words, pairs)
+    def both(ws):
+        firsts = F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0)))
+        return F.concat(ws, F.transform(firsts, lambda w, i: F.concat(w, F.lit(" "), F.get(ws, i + 1))))
+
+    # The one-element array binds the words, which are then split only once per row.
+    return F.flatten(F.transform(F.array(words), both))
 
 
 def compact_whitespace(s: Column) -> Column:

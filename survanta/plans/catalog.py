@@ -6,3 +6,4 @@ from . import metric_queries  # noqa: F401
 from . import adapter_queries  # noqa: F401
 from . import standardize_queries  # noqa: F401
 from . import ranking_queries  # noqa: F401
+from . import retrieval_queries  # noqa: F401
