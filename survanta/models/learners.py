@@ -11,12 +11,15 @@ import math
 from copy import copy
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 VECTOR = "_features"
 
@@ -163,9 +166,6 @@ class FourierBasis:
     centre: list
 
     def column(self, features) -> Column:
-        from pyspark.sql.functions import pandas_udf
-        import numpy as np
-        import pandas as pd
         w, b, c = np.array(self.weights), np.array(self.shifts), np.array(self.centre)
 
         @pandas_udf("array<double>")
@@ -178,7 +178,6 @@ class FourierBasis:
 
 def fourier_basis(df: DataFrame, features, n: int = 100, seed: int = 42, gamma: float | str = "scale") -> FourierBasis:
     """Draw the map. ``gamma='scale'`` is 1 / (features x variance), variance over all cells."""
-    import numpy as np
     p = len(features)
     row = df.agg(*[F.avg(f) for f in features], *[F.avg(F.col(f) * F.col(f)) for f in features]).first()
     mean = [float(v) for v in row[:p]]
@@ -209,7 +208,6 @@ class SVR(Learner):
     seed: int = 42
 
     def fit(self, df, features, label):
-        import numpy as np
         basis = fourier_basis(df, features, self.n_fourier, self.seed) if self.kernel == "rbf" else None
         x = basis.column(features) if basis else F.array(*[F.col(f).cast("double") for f in features])
         data = df.select(x.alias("x"), F.col(label).cast("double").alias("y")).persist()

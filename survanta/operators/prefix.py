@@ -19,34 +19,37 @@ BUCKET = "_bucket"
 GROUP = "_group"
 
 
-def bucket_count(df: DataFrame, per_group: bool) -> int:
-    """Ranges per group: one per shuffle partition, fewer when there are groups."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(4, min(n, 64) if per_group else n)
+# A range gets at least this many cells; a group with fewer stays in one range.
+RANGE_CELLS = 1000
 
 
-def place(cells: DataFrame, by, key: str, touch: Column | None = None,
-          buckets: int | None = None) -> DataFrame:
+def place(cells: DataFrame, by, key: str, touch: Column | None = None) -> DataFrame:
     """Add ``_bucket`` (key range of the row inside its group) and, with groups, ``_group``.
 
     ``_group`` packs the group columns in a struct, so that later joins and windows
     share one hash partitioning and NULL groups match. The range ends come from a
-    mergeable quantile sketch of the cells; they steer balance only, any split gives
-    the same result. ``touch`` names the payload, so that the sketch reads the same
+    mergeable quantile sketch of the cells: up to one range per shuffle partition and
+    group, thinned out for small groups. They steer balance only, any split gives the
+    same result. ``touch`` names the payload, so that the sketch reads the same
     columns as the main path and Spark reuses the shuffle that built the cells.
     """
     by = list(by)
-    n = buckets or bucket_count(cells, bool(by))
+    n = max(2, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     x = F.col(key).cast("double")
     probs = [i / n for i in range(1, n)]
     seen = x if touch is None else F.when(touch >= 0, x)
     sketch = F.coalesce(F.array_distinct(F.percentile_approx(seen, probs, 20 * n)),
-                        F.array().cast("array<double>")).alias("_ends")
+                        F.array().cast("array<double>"))
+    stride = F.ceil(F.lit(n * RANGE_CELLS) / F.count(seen)).cast("int")
+    summary = F.struct(sketch.alias("ends"), F.coalesce(stride, F.lit(1)).alias("stride")).alias("_sketch")
     if by:
         keyed = cells.withColumn(GROUP, F.struct(*by))
-        placed = keyed.join(keyed.groupBy(GROUP).agg(sketch), GROUP)
+        sketches = keyed.groupBy(GROUP).agg(summary)
     else:
-        placed = cells.crossJoin(F.broadcast(cells.agg(sketch)))  # one row
+        sketches = cells.agg(summary)  # one row
+    ends = F.filter(F.col("_sketch.ends"), lambda e, i: (i + 1) % F.col("_sketch.stride") == 0)
+    sketches = sketches.withColumn("_ends", ends).drop("_sketch")
+    placed = keyed.join(sketches, GROUP) if by else cells.crossJoin(F.broadcast(sketches))
     return placed.withColumn(BUCKET, search_left(F.col("_ends"), x)).drop("_ends")
 
 

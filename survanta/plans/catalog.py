@@ -7,3 +7,4 @@ from . import adapter_queries  # noqa: F401
 from . import standardize_queries  # noqa: F401
 from . import ranking_queries  # noqa: F401
 from . import retrieval_queries  # noqa: F401
+from . import model_queries  # noqa: F401

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import csv
+import io
+import itertools
 import re
+import zipfile
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +43,6 @@ def read_zip_csv(spark: SparkSession, path: str) -> DataFrame:
     blobs = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def rows(batches):
-        import io
-        import zipfile
-        import pandas as pd
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
@@ -50,20 +51,17 @@ def read_zip_csv(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError(f"no CSV file in {name}")
                     with archive.open(member) as raw:
                         lines = csv.reader(io.TextIOWrapper(raw, "utf-8", newline=""))
-                        header, block = next(lines), []
-                        for line in lines:
-                            block.append(dict(zip(header, line)))
-                            if len(block) == 10000:
-                                yield pd.DataFrame({"cells": block})
-                                block = []
-                        yield pd.DataFrame({"cells": block or [dict.fromkeys(header)][:0]})
-
-    long = blobs.mapInPandas(rows, "cells map<string,string>")
+                        header = next(lines, [])
+                        while block := list(itertools.islice(lines, 10000)):
+                            yield pd.DataFrame({"names": [header] * len(block), "cells": block})
+
+    long = blobs.mapInPandas(rows, "names array<string>, cells array<string>")
     first = long.first()
     if first is None:
         raise ReadError("the zip holds no rows")
-    blank = lambda c: F.nullif(F.element_at("cells", F.lit(c)), F.lit(""))
-    return long.select(*[blank(c).alias(c) for c in first["cells"]])
+    # Looked up by name, so files may order their columns differently.
+    cell = lambda c: F.get("cells", F.array_position("names", F.lit(c)).cast("int") - 1)
+    return long.select(*[F.nullif(cell(c), F.lit("")).alias(c) for c in first["names"]])
 
 
 def read_table(spark: SparkSession, path: str, max_bytes: int | None = MAX_BYTES) -> DataFrame:
