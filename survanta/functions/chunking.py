@@ -20,8 +20,8 @@ def sections(text: Column, default_title: Column) -> Column:
     Text before the first heading gets ``default_title``; a text without any content
     has no sections.
     """
-    lines = F.split(compact_whitespace(text), "\n")
-    starts = lambda ls: F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: (i == 0) | F.get(ls, i).rlike(HEADING))
+    def starts(ls):
+        return F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: (i == 0) | F.get(ls, i).rlike(HEADING))
 
     def section(ls, begin, end):
         head = F.get(ls, begin)
@@ -29,10 +29,12 @@ def sections(text: Column, default_title: Column) -> Column:
         body = F.array_join(F.slice(ls, begin + 1, end - begin), "\n")
         return F.struct(title.alias("title"), _strip(body).alias("text"))
 
-    # A one-element array binds the lines once for the nested expressions.
-    made = F.flatten(F.transform(F.array(F.struct(lines.alias("l"), starts(lines).alias("s"))), lambda b: F.transform(
+    # One-element arrays bind the lines and the starts, so that each is computed once per row.
+    lines = F.array(F.split(compact_whitespace(text), "\n"))
+    bound = F.transform(lines, lambda ls: F.struct(ls.alias("l"), starts(ls).alias("s")))
+    made = F.flatten(F.transform(bound, lambda b: F.transform(
         b["s"], lambda at, i: section(b["l"], at, F.coalesce(F.get(b["s"], i + 1), F.size(b["l"]))))))
-    return F.when(compact_whitespace(text) == "", F.array().cast("array<struct<title:string,text:string>>")).otherwise(made)
+    return F.when(~text.rlike(r"\S"), F.array().cast("array<struct<title:string,text:string>>")).otherwise(made)
 
 
 def pack(text: Column, max_chars: int = 1500) -> Column:

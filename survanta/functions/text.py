@@ -28,19 +28,17 @@ def slug(s: Column, fallback: str = "dataset") -> Column:
 def to_number(s: Column) -> Column:
     """Text to double or NULL, without Spark's type suffixes (``1d``); inf is kept, NaN is NULL."""
     text = s.cast("string")
-    plain = F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
     word = F.lower(F.trim(text))
-    return (F.when(word.rlike(r"^\+?inf(inity)?$"), F.lit(float("inf")))
-            .when(word.rlike(r"^-inf(inity)?$"), F.lit(float("-inf")))
-            .when(word == "true", F.lit(1.0)).when(word == "false", F.lit(0.0))
-            .otherwise(plain))
+    # Plain numbers leave at the first test; the words are looked at only for the rest.
+    return (F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
+            .when(word.rlike(r"^[+-]?inf(inity)?$"), F.when(word.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
+            .when(word == "true", F.lit(1.0)).when(word == "false", F.lit(0.0)))
 
 
 def tokenize(s: Column) -> Column:
     """Lower-case Latin, Cyrillic, digit and underscore runs of length 2 or more, without stop words."""
     words = F.regexp_extract_all(F.lower(s), F.lit("([A-Za-zА-Яа-яЁё0-9_]+)"), F.lit(1))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(words, lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*STOPWORDS))
 
 
 def words(s: Column) -> Column:

@@ -94,13 +94,16 @@ class SurvivalForest:
         """Rows repeated per tree as (tree, node, weight)."""
         if self.sample is None:
             return base.withColumn("w", F.lit(1.0))
-        cdf, term, acc = [], math.exp(-self.sample), 0.0
-        for i in range(1, 21):
-            acc += term
-            cdf.append(acc)
-            term *= self.sample / i
         u = (F.xxhash64(self.row_id, "tree", F.lit(self.seed)).bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53)
-        return base.withColumn("w", search_left(doubles(cdf), u).cast("double")).where(F.col("w") > 0)
+        # Poisson draw: how many of the distribution's steps lie at or below u.
+        term = acc = math.exp(-self.sample)
+        drawn, i = F.lit(0.0), 0
+        while acc < 1.0 - 1e-12 and i < 60:
+            drawn = drawn + F.when(u >= acc, 1.0).otherwise(0.0)
+            i += 1
+            term *= self.sample / i
+            acc += term
+        return base.withColumn("w", drawn).where(F.col("w") > 0)
 
     def fit(self, df, features, time="time", cens="cens"):
         features = list(features)

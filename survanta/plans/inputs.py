@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for row-wise heavy work on a scan of very few file splits.
+
+    A large table has more splits than cores and is left alone, so no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
+
+
 def orders_tte(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days from the order to 2001-08-02; the event is status F."""
     o = table(spark, sf_dir, "orders")

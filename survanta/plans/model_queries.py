@@ -11,7 +11,7 @@ from ..models.learners import GroupRate, classifier, regressor
 from ..models.survival_boosting import SurvivalGBT
 from ..models.survival_trees import CraidForest, CraidTree, SurvivalForest, SurvivalTree
 from ..operators import experiment
-from .inputs import ORDERS_TTE, orders_tte
+from .inputs import ORDERS_TTE, orders_tte, spread
 from .registry import query
 
 FEATURES = ["price", "acctbal"]
@@ -31,7 +31,7 @@ def cox_derivatives(spark, sf_dir):
 
 
 def _curves(spark, sf_dir, adapter):
-    df = orders_tte(spark, sf_dir)
+    df = spread(orders_tte(spark, sf_dir))
     m = adapter.fit(df, FEATURES)
     return m.survival(df, GRID).select("row_id", F.round(F.element_at("sf", -1), 6).alias("s_last"),
                                        F.round(curve.expected_time(F.col("sf"), doubles(GRID), m.from_origin), 4).alias("expected_time"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import standardize
 from ..sources import store
-from .inputs import ORDERS_TTE, orders_tte, table
+from .inputs import ORDERS_TTE, orders_tte, spread, table
 from .registry import query
 
 RAW = """raw AS (SELECT o_orderkey,
@@ -28,7 +28,7 @@ def raw_upload(spark, sf_dir):
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     k = F.col("o_orderkey")
     days = F.datediff(F.lit("2001-08-02").cast("date"), F.col("o_orderdate").cast("date")).cast("string")
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+    return spread(o.join(c, F.col("o_custkey") == F.col("c_custkey"))).select(
         "o_orderkey", F.col("c_custkey").cast("string").alias("Customer ID"),
         F.when(k % 97 == 0, None).when(k % 1000 == 3, "0").otherwise(days).alias(" Tenure "),
         F.when(k % 89 == 0, None).when(k % 83 == 0, "unknown").when(F.col("o_orderstatus") == "F", "Yes")
