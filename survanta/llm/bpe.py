@@ -20,8 +20,10 @@ library; repeated rows each give their result; only named columns are read.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 from itertools import chain
@@ -34,8 +36,12 @@ from tokenizers import Tokenizer, models
 LEAF = 4096
 PIECE = 512
 SPAN = 1 << 16
-UNITS_KEPT = 200_000
+UNITS_KEPT = 400_000
 BATCH_UNITS = 4096
+MARKS = ".,;:!?"
+WORD_MARK = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{MARKS}]?)").fullmatch
+#: Byte-level models write the bytes that are no printable Latin-1 character as the characters from 256 on.
+BYTE_CHARS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 #: Stands after the last token of a run, so that a window knows that it reaches the end.
 END = ("", -1)
 
@@ -78,8 +84,11 @@ class Encoder:
         self.shared = shared
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special_ids = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.letters_apart = self._splits_marks()
         self.plain = not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("ignore_merges")
-        self.kept: dict[str, tuple[int, ...]] = {}
+        #: Units with their ids as little-endian bytes: those of late, and those of a while ago.
+        self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.tokens = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
 
     def decode(self, ids: list[int]) -> str:
@@ -88,6 +97,14 @@ class Encoder:
             return " ".join(map(self.tokens.__getitem__, ids))
         return self.tok.decode(ids, skip_special_tokens=False)
 
+    def _splits_marks(self) -> bool:
+        """Whether case is dropped, marks behind a word are pieces of their own, and a word is one run of byte characters
+        for the model, as far as examples show."""
+        one = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        bare = lambda w: self.final.encode(w.lower().encode().decode("latin-1").translate(BYTE_CHARS), add_special_tokens=False).ids
+        words = ("a", "B", "Word", "the", "ß", "Ünique", "ÀÉñ", "à")
+        return all(one(w + m) == bare(w) + (one(m) if m else []) for w in words for m in ("", *MARKS))
+
     @cached_property
     def inner(self) -> Tokenizer:
         """The bare model for a run that goes on."""
@@ -130,14 +147,45 @@ class Encoder:
                     out.extend(self.ids_of_piece(piece) if self.plain else self.tok.model.tokenize(piece))
         return tuple(out)
 
+    def forget(self) -> None:
+        """Between texts: what was not met lately goes, so that a worker's memory stays bounded."""
+        if len(self.kept) > UNITS_KEPT:
+            self.kept, self.old = {}, self.kept
+
     def know(self, units: set[str]) -> None:
         """Encodes the units that are not kept yet, in batches."""
-        new = [u for u in units if u not in self.kept]
-        short = [u for u in new if len(u) <= PIECE]
-        for i in range(0, len(short), BATCH_UNITS):
-            part = short[i:i + BATCH_UNITS]
-            self.kept.update(zip(part, (tuple(e.ids) for e in self.tok.encode_batch_fast(part, add_special_tokens=False))))
-        self.kept.update((u, self._ids(u)) for u in new if len(u) > PIECE)
+        kept, old = self.kept, self.old
+        new = units.difference(kept)
+        if old:
+            again = new.intersection(old)
+            kept.update((u, old[u]) for u in again)
+            new -= again
+        if not new:
+            return
+        if self.letters_apart:
+            # A word of Latin-1 letters with one mark behind it is two pieces, so the word without case and the mark are
+            # enough, and the word is one run for the model alone.
+            split = [(u, m[1].lower(), m[2]) for u in new if (m := WORD_MARK(u))]
+            words = {w for _, w, _ in split if w not in kept}
+            self._encode(self.final, list(words), [w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARS) for w in words])
+            self._encode(self.tok, list(rest := new.difference([u for u, _, _ in split]).union(MARKS).difference(kept)), list(rest))
+            kept.update([(u, kept[w] + kept[x] if x else kept[w]) for u, w, x in split])
+        else:
+            self._encode(self.tok, list(new), list(new))
+
+    def _encode(self, tok: Tokenizer, units: list[str], texts: list[str]) -> None:
+        long = [i for i, t in enumerate(texts) if len(t) > PIECE]
+        if long:
+            self.kept.update((units[i], np.array(self._ids(units[i]), "<u4").tobytes()) for i in long)
+            units, texts = zip(*[(u, t) for u, t in zip(units, texts) if len(t) <= PIECE]) if len(long) < len(units) else ((), ())
+        for i in range(0, len(units), BATCH_UNITS):
+            got = [e.ids for e in tok.encode_batch_fast(texts[i:i + BATCH_UNITS], add_special_tokens=False)]
+            ends = (np.cumsum([0, *map(len, got)]) * 4).tolist()
+            flat = np.fromiter(chain.from_iterable(got), "<u4", ends[-1] // 4).tobytes()
+            self.kept.update(zip(units[i:i + BATCH_UNITS], map(flat.__getitem__, map(slice, ends, ends[1:]))))
+
+    def ids(self, units: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.kept.__getitem__, units)), "<u4")
 
 
 def _around(text: str, s: str, sid: int):
@@ -152,7 +200,9 @@ def _around(text: str, s: str, sid: int):
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
-    return Encoder(path)
+    out = Encoder(path)
+    gc.freeze()  # the vocabulary stays; the collector need not walk it again and again
+    return out
 
 
 def cut(text: str) -> list[str]:
@@ -176,17 +226,16 @@ def joined_units(enc: Encoder, leaves: list[list[str]]) -> list[str]:
 def encoded_texts(enc: Encoder, texts: list[str | None]) -> list[list[str]]:
     """Units of each text; their ids and decoded forms are then in ``enc.kept``."""
     leaves = [leaves_of(t or "") for t in texts]
-    if len(enc.kept) > UNITS_KEPT:
-        enc.kept.clear()  # here only: until the texts are done, their units stay
+    enc.forget()  # here only: until the texts are done, their units stay
     enc.know({u for ls in leaves for units in ls for u in units})
     return [joined_units(enc, ls) for ls in leaves]
 
 
 def _lists(enc: Encoder, docs: list[list[str]]) -> tuple[pa.Array, list[str]]:
-    got = [list(chain.from_iterable(map(enc.kept.__getitem__, units))) for units in docs]
+    got = [enc.ids(units) for units in docs]
     ends = np.cumsum([0, *map(len, got)])
-    flat = pa.array(np.fromiter(chain.from_iterable(got), np.int32, int(ends[-1])))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), [enc.decode(ids) for ids in got]
+    flat = np.concatenate(got).astype(np.int32) if got else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), [enc.decode(ids.tolist()) for ids in got]
 
 
 def _parts(batch: pa.RecordBatch, chars: int = 4_000_000):
@@ -214,17 +263,17 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
         enc = encoder(path)
         for batch in batches:
             units = encoded_texts(enc, batch.column("t").to_pylist())
-            own = [[list(enc.kept[u]) for u in us] for us in units]
+            own = [[enc.kept[u] for u in us] for us in units]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), batch.column("span"), pa.array(units, pa.list_(pa.string())),
-                 pa.array(own, pa.list_(pa.list_(pa.int32())))], ["row", "doc_id", "span", "units", "own"])
+                 pa.array(own, pa.list_(pa.binary()))], ["row", "doc_id", "span", "units", "own"])
 
     def meet(table: pa.Table) -> pa.Table:
         enc = encoder(path)
         table = table.sort_by("span")
         units = table.column("units").to_pylist()
         for us, own in zip(units, table.column("own").to_pylist()):
-            enc.kept.update((u, tuple(ids)) for u, ids in zip(us, own))
+            enc.kept.update(zip(us, own))
         ids, decoded = _lists(enc, [joined_units(enc, units)])
         return pa.table({"doc_id": table.column("doc_id").slice(0, 1), "ids": ids, "decoded": pa.array(decoded, pa.string())})
 
@@ -234,5 +283,5 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
     cuts = long.select("row", "doc_id", F.posexplode(F.transform(at, lambda i: F.substring("t", i * span + 1, F.lit(span)))).alias("span", "t"))
     # As many tasks as the session shuffles to, so that the spans of one long text go to many.
     dealt = cuts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row", "span")
-    done = dealt.mapInArrow(spans, f"row long, doc_id {id_kind}, span int, units array<string>, own array<array<int>>")
+    done = dealt.mapInArrow(spans, f"row long, doc_id {id_kind}, span int, units array<string>, own array<binary>")
     return short.unionByName(done.groupBy("row").applyInArrow(meet, kind))

@@ -40,21 +40,19 @@ def _where(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
-def _flat(enc: bpe.Encoder, bytes_of: dict[str, bytes], texts: list[str | None], end: int, kind: np.dtype) -> list[bytes]:
-    """Encoded documents as bytes, the end id appended; units keep their bytes."""
+def _flat(enc: bpe.Encoder, texts: list[str | None], end: int, kind: np.dtype) -> list[bytes]:
+    """Encoded documents as bytes, the end id appended."""
     units = [bpe.cut(t or "") for t in texts]
-    if len(enc.kept) > bpe.UNITS_KEPT:
-        enc.kept.clear()
-        bytes_of.clear()
-    seen = {u for us in units for u in us}
-    enc.know(seen)
-    for u in seen - bytes_of.keys():
-        ids = np.array(enc.kept[u], np.int64)
-        if len(ids) and ids.max() > np.iinfo(kind).max:
-            raise ValueError(f"id {ids.max()} does not fit {kind}")
-        bytes_of[u] = ids.astype(kind).tobytes()
-    tail = np.array([end], kind).tobytes()
-    return [b"".join(map(bytes_of.__getitem__, us)) + tail for us in units]
+    enc.forget()
+    enc.know({u for us in units for u in us})
+    tail = np.array([end], "<u4").tobytes()
+    whole = [b"".join(map(enc.kept.__getitem__, us)) + tail for us in units]
+    if kind.itemsize == 4:
+        return whole
+    ids = [np.frombuffer(x, "<u4") for x in whole]
+    if max((int(x.max()) for x in ids), default=0) > np.iinfo(kind).max:
+        raise ValueError(f"an id does not fit {kind}")
+    return [x.astype(kind).tobytes() for x in ids]
 
 
 def write(df: DataFrame, folder: str, tokenizer: str, end: int = 2, id_col: str = "doc_id", text: str = "text",
@@ -73,12 +71,12 @@ def write(df: DataFrame, folder: str, tokenizer: str, end: int = 2, id_col: str
         ctx = TaskContext.get()
         fs, path = _where(folder)
         name, attempt = f"{path}/shard-{ctx.partitionId():05d}", f"{path}/_attempt-{ctx.taskAttemptId()}"
-        enc, bytes_of, offsets, ids, at = bpe.encoder(tokenizer), {}, [0], [], 0
+        enc, offsets, ids, at = bpe.encoder(tokenizer), [0], [], 0
         out = None
         for batch in batches:
             for part in bpe._parts(batch):
                 out = out or fs.open_output_stream(f"{attempt}.bin")
-                for data in _flat(enc, bytes_of, part.column("t").to_pylist(), end, kind):
+                for data in _flat(enc, part.column("t").to_pylist(), end, kind):
                     out.write(data)
                     at += len(data) // kind.itemsize
                     offsets.append(at)
