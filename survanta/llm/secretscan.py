@@ -104,7 +104,7 @@ def _scan(rows: DataFrame, keep: str) -> DataFrame:
     base = F.concat(_spans_of("assign", spans(F.col("t"), ASSIGN), 12), _spans_of("access", spans(F.col("t"), ACCESS)),
                     _spans_of("hex", spans(F.col("t"), HEX)))
     found = F.transform(spans(F.col("t"), RANDOM), lambda x: F.struct(
-        x["start"].alias("start"), x["end"].alias("end"), F.rtrim(F.lit("="), x["hit"]).alias("s")))
+        x["start"].alias("start"), x["end"].alias("end"), F.rtrim(x["hit"], F.lit("=")).alias("s")))
     judged = F.transform(F.col("found"), lambda x: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), F.least(F.floor(F.length(x["s"]) / BAND), F.lit(20)).cast("int").alias("band"),
         (~x["s"].rlike("[0-9]")).alias("null_run"),
