@@ -138,6 +138,19 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: st
     return out
 
 
+def _clean(seeds, threshold: float):
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codes, s = WordCodes(), seeds.value
+        for part in texts:
+            got = []
+            for t in part:
+                c = codes.of(words_of(t))
+                found = (sum(n for _, _, n in tiles(dp, ip, k, len(c), len(s.items[i][1]), k)) / len(s.items[i][1]) for i, k, dp, ip in s.pairs(c))
+                got.append(not any(x >= threshold for x in found) if len(c) else True)
+            yield pd.Series(got, dtype=bool)
+    return clean
+
+
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", least: int = MIN_MATCH,
                threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item reaches ``threshold``; judged in place, without a shuffle."""
@@ -150,15 +163,5 @@ def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", item_text:
         codes = WordCodes()
         seeds = docs.sparkSession.sparkContext.broadcast(Seeds([(None, codes.of(words_of(r["t"]))) for r in part.toLocalIterator()], least))
 
-        def clean(texts: Iterator[pd.Series], seeds=seeds) -> Iterator[pd.Series]:
-            codes, s = WordCodes(), seeds.value
-            for part in texts:
-                got = []
-                for t in part:
-                    c = codes.of(words_of(t))
-                    got.append(not any(sum(n for _, _, n in tiles(dp, ip, k, len(c), len(s.items[i][1]), k)) >= threshold * len(s.items[i][1])
-                                       for i, k, dp, ip in s.pairs(c)) if len(c) else True)
-                yield pd.Series(got, dtype=bool)
-
-        out = out.filter(F.pandas_udf(clean, "boolean").asNondeterministic()(F.col("t")))
+        out = out.filter(F.pandas_udf(_clean(seeds, threshold), "boolean").asNondeterministic()(F.col("t")))
     return out.select("row.*")
