@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BYTES = 128 * 1024 * 1024
+#: Words that stand for a missing value in a text table.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+           "NaN", "None", "n/a", "nan", "null")
 
 
 class ReadError(ValueError):
@@ -27,45 +29,59 @@ def _sniff(spark: SparkSession, path: str) -> str:
         return ","
 
 
+def _with_nulls(df: DataFrame) -> DataFrame:
+    cells = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    return df.select(*[F.when(~c.isin(*MISSING), c).alias(n) for c, n in zip(cells, df.columns)])
+
+
 def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """CSV with a header, every column as text; the delimiter is guessed from the first lines."""
-    return spark.read.csv(path, header=True, sep=sep or _sniff(spark, path), quote='"', escape='"')
+    """CSV with a header, every column as text, missing-value words as null; the delimiter is guessed from the first lines."""
+    return _with_nulls(spark.read.csv(path, header=True, sep=sep or _sniff(spark, path), quote='"', escape='"'))
 
 
 def read_csv_gz(spark: SparkSession, path: str) -> DataFrame:
     """Gzip CSV. One file is one task to read, so the rows are spread out afterwards."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return spark.read.csv(path, header=True, quote='"', escape='"').repartition(n)
+    return _with_nulls(spark.read.csv(path, header=True, quote='"', escape='"').repartition(n))
 
 
 def read_zip_csv(spark: SparkSession, path: str) -> DataFrame:
-    """First CSV member of each zip file, every column as text; many zips are read in parallel."""
+    """First CSV member of each zip file, every column as text, missing-value words as null. Many zips are read in
+    parallel; the format lets one task read one zip, and that holds its packed content in memory."""
     blobs = spark.read.format("binaryFile").load(path).select("path", "content")
 
-    def rows(batches):
+    def member(name, content):
+        archive = zipfile.ZipFile(io.BytesIO(content))
+        first = next((m for m in archive.namelist() if m.lower().endswith(".csv")), None)
+        if first is None:
+            raise ValueError(f"no CSV file in {name}")
+        lines = csv.reader(io.TextIOWrapper(archive.open(first), "utf-8", newline=""))
+        return next(lines, []), lines
+
+    def headers(batches):
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    member = next((m for m in archive.namelist() if m.lower().endswith(".csv")), None)
-                    if member is None:
-                        raise ValueError(f"no CSV file in {name}")
-                    with archive.open(member) as raw:
-                        lines = csv.reader(io.TextIOWrapper(raw, "utf-8", newline=""))
-                        header = next(lines, [])
-                        while block := list(itertools.islice(lines, 10000)):
-                            yield pd.DataFrame({"names": [header] * len(block), "cells": block})
-
-    long = blobs.mapInPandas(rows, "names array<string>, cells array<string>")
-    first = long.first()
-    if first is None:
+            yield pd.DataFrame({"names": [member(*x)[0] for x in zip(batch["path"], batch["content"])]})
+
+    found = blobs.mapInPandas(headers, "names array<string>").first()
+    if found is None or not found["names"]:
         raise ReadError("the zip holds no rows")
-    # Looked up by name, so files may order their columns differently.
-    cell = lambda c: F.get("cells", F.array_position("names", F.lit(c)).cast("int") - 1)
-    return long.select(*[F.nullif(cell(c), F.lit("")).alias(c) for c in first["names"]])
+    names = list(found["names"])
+
+    def rows(batches):
+        # Files may order their columns differently, so cells are put in the order of ``names`` once per file.
+        for batch in batches:
+            for x in zip(batch["path"], batch["content"]):
+                own, lines = member(*x)
+                at = [own.index(n) if n in own else None for n in names]
+                while block := list(itertools.islice(lines, 10000)):
+                    yield pd.DataFrame({"cells": [[r[i] if i is not None and i < len(r) else None for i in at] for r in block]})
+
+    cells = blobs.mapInPandas(rows, "cells array<string>")
+    return _with_nulls(cells.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]))
 
 
-def read_table(spark: SparkSession, path: str, max_bytes: int | None = MAX_BYTES) -> DataFrame:
-    """Reader chosen by suffix: ``.csv``, ``.csv.gz``, ``.zip`` or none (CSV)."""
+def read_table(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """Reader chosen by suffix: ``.csv``, ``.csv.gz``, ``.zip`` or none (CSV); ``max_bytes`` refuses larger files."""
     if max_bytes is not None:
         size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
         if size > max_bytes:
