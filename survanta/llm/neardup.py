@@ -5,13 +5,13 @@ number of places that differ. Signatures are split into ``CHUNKS`` chunks. If tw
 some chunk has at most one error (pigeonhole), so the keys of a chunk that leave out one place each bring together every
 such pair. Beyond that distance the keys still meet with high odds: at a similarity of 0.75 a pair is missed with a
 chance below 1e-4, falling fast above. Candidates whose distance is out of reach of 0.75 are dropped (``FAR``, and
-``FAR_LONG`` on a second signature of ``LONG`` places, each four and a half standard deviations), the others confirmed on
+``FAR_LONG`` on a second signature of ``LONG`` places of 4 bits, each four and a half standard deviations), the others confirmed on
 the full sets.
 
 No group is expanded into all its pairs. Documents with equal sets are one class with its smallest id as
 representative. In each bucket the members are compared with one pivot, the smallest representative; confirmed links
 give components; only buckets that still hold several components go on. There the signatures of members of different
-components are compared in blocks of bounded size, and only pairs within ``FAR`` come out, once however many buckets
+components are compared in blocks of bounded size, and only pairs within reach come out, once however many buckets
 they share. So thousands of near copies cost one comparison each, and no link between different components is lost.
 
 Shingle sets are computed for members of shared buckets only, found in the scan through a Bloom filter of bounded size
@@ -40,8 +40,8 @@ SHINGLE = 5
 SHARE = 75
 CHUNKS, CHUNK = 16, 7
 FAR = 48
-LONG, FAR_LONG = 256, 95
-BLOCK = 256
+LONG, FAR_LONG = 512, 163
+BLOCK = 1024
 BLOOM_KEYS = 4_000_000
 _ALL = mixed((np.arange(1, CHUNKS * CHUNK + LONG + 1, dtype=np.uint64) * ODD)) | np.uint64(1)
 _SHORT, _LONG = _ALL[:CHUNKS * CHUNK], _ALL[CHUNKS * CHUNK:]
@@ -55,6 +55,18 @@ def signature(s: np.ndarray, multipliers: np.ndarray = _SHORT) -> np.ndarray:
     return (mixed(low) >> np.uint64(56)).astype(np.uint8)
 
 
+def long_signature(s: np.ndarray) -> np.ndarray:
+    """4 bits of each of ``LONG`` further minima, two to a byte."""
+    low = signature(s, _LONG) & 15
+    return (low[::2] << 4) | low[1::2]
+
+
+def long_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of long signatures that differ, along the last axis."""
+    d = x ^ y
+    return ((d & 15) != 0).sum(axis=-1) + ((d >> 4) != 0).sum(axis=-1)
+
+
 def keys_of(sigs: np.ndarray) -> np.ndarray:
     """Keys (row, chunk * place left out) of signatures as a matrix of bytes."""
     parts = sigs.reshape(len(sigs), CHUNKS, CHUNK).astype(np.uint64)
@@ -89,8 +101,8 @@ def signatures(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
 
 
 def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b)) if len(a) else (np.zeros((0, 1)),) * 2
-    return pd.Series((x != y).sum(axis=1), dtype="int32")
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b)) if len(a) else (np.zeros((0, 1), np.uint8),) * 2
+    return pd.Series(long_distance(x, y), dtype="int32")
 
 
 def _linked(share: int):
@@ -117,7 +129,7 @@ def needed_sets(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text: str,
         codes = WordCodes()
         for part in parts:
             part = part[sent.value.has(unsigned(part["a"]), unsigned(part["b"]))] if len(part) else part
-            got = [(rep, s.tobytes(), signature(s, _LONG).tobytes()) for rep, t in zip(part["doc_id"], part["t"])
+            got = [(rep, s.tobytes(), long_signature(s).tobytes()) for rep, t in zip(part["doc_id"], part["t"])
                    if len(s := shingle_set(codes.of(words_of(t)), k))]
             yield pd.DataFrame(got, columns=["rep", "s", "long"])
 
@@ -156,13 +168,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             near = (pairs.join(sets.select(F.col("rep").alias("a"), F.col("long").alias("long_a")), "a")
                     .join(sets.select(F.col("rep").alias("b"), F.col("long").alias("long_b")), "b")
                     .filter(far("long_a", "long_b") <= FAR_LONG).select("a", "b").distinct())
+            return by_set(near)
+
+        def by_set(near: DataFrame) -> DataFrame:
             full = (near.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("s_a")), "a")
                     .join(sets.select(F.col("rep").alias("b"), F.col("s").alias("s_b")), "b"))
             return full.filter(F.pandas_udf(_linked(share), "boolean")("s_a", "s_b")).select("a", "b")
 
         first = members.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
         links = stored(confirmed(first), "star-links")
-        links = links.unionByName(confirmed(_between(members, components(links), sigs)))
+        both = sigs.join(sets.select("rep", "long"), "rep")
+        links = links.unionByName(by_set(_between(members, components(links), both)))
     found = components(stored(links, "links")) if links is not None else None
     named = classes.select("name", F.col("rep"))
     if found is not None:
@@ -176,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def _between(members: DataFrame, found: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of different components in one bucket that no pivot has seen, within ``FAR`` of each other.
+    """Pairs (a, b) of members of different components in one bucket that no pivot has seen, within ``FAR`` and ``FAR_LONG`` of each other.
 
     A bucket is cut into blocks by the hash of the member, and each two blocks are one unit of work that compares their
     signatures as matrices. A pair comes out in the first of the buckets that it shares, so once.
@@ -187,8 +203,8 @@ def _between(members: DataFrame, found: DataFrame, sigs: DataFrame) -> DataFrame
     open_rows = rows.filter("rep <> pivot").join(several, "key").join(sigs, "rep")
     n = F.ceil(F.col("c") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), n).cast("int")
-    dealt = open_rows.select("key", "at", "rep", "component", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other")).select(
-        "key", "at", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "sig")
+    dealt = open_rows.select("key", "at", "rep", "component", "sig", "long", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other")).select(
+        "key", "at", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "sig", "long")
     work = dealt.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,12 +212,14 @@ def _between(members: DataFrame, found: DataFrame, sigs: DataFrame) -> DataFrame
             at, i, j = int(unit["at"].iloc[0]), unit["i"].iloc[0], unit["j"].iloc[0]
             own, rep, comp = unit["own"].to_numpy(), unit["rep"].to_numpy(), unit["component"].to_numpy()
             sig = np.frombuffer(b"".join(unit["sig"]), np.uint8).reshape(len(unit), -1)
+            long = np.frombuffer(b"".join(unit["long"]), np.uint8).reshape(len(unit), -1)
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             out = []
             for x in left:
                 ys = right if i != j else right[right > x]
                 ys = ys[comp[ys] != comp[x]]
                 ys = ys[(sig[ys] != sig[x]).sum(axis=1) <= FAR] if len(ys) else ys
+                ys = ys[long_distance(long[ys], long[x]) <= FAR_LONG] if len(ys) else ys
                 if len(ys):
                     ys = ys[_first_key(sig[x], sig[ys]) == at]
                     out += [(min(rep[x], r), max(rep[x], r)) for r in rep[ys]]
