@@ -157,7 +157,8 @@ class Encoder:
         kept, old = self.kept, self.old
         new = units.difference(kept)
         if old:
-            again = new.intersection(old)
+            # Looked up one by one: an intersection of a set with a dict would walk the whole dict at every join.
+            again = {u for u in new if u in old}
             kept.update((u, old[u]) for u in again)
             new -= again
         if not new:
