@@ -49,6 +49,25 @@ def test_latex(spark):
     assert df.select(T.clean_latex(F.col("t"))).first()[0].split() == ["#", "Идея", "bold", "x", "text.", "Next"]
 
 
+@pytest.mark.parametrize("tex, want", [
+    ("a % gone {\nb", "a b"),
+    ("\\subsection*{Plan}\n\\begin{itemize}\\item one\\end{itemize}", "# Plan one "),
+    ("\\emph{very} \\url{x.org}. {Braced} \\alpha*[o]rest", "very x.org.\nBraced rest"),
+    ("\\section{\\textbf{In}}", " In "),
+    ("", ""), (None, None)])
+def test_latex_cases(spark, tex, want):
+    assert spark.createDataFrame([(tex,)], "t string").select(T.clean_latex(F.col("t"))).first()[0] == want
+
+
+def test_chunks_that_differ_late_stay_apart(spark):
+    same = "word " * 100
+    c = frame(spark, [(1, "a", "t", same + "one"), (2, "a", "t", same + "two"), (3, "a", "t", same + "one")])
+    q = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (1, 3, 2)], "query_id long, chunk_id long, pos long")
+    assert sorted(r["chunk_id"] for r in R.merge([q], c).collect()) == [1, 2]
+    none = spark.createDataFrame([], "no int, source string, title string")
+    assert [r["chunk_id"] for r in R.foundation(c, none, ["two"], 5).collect()] == [2]
+
+
 def test_keyword_score(spark, chunks):
     q = spark.createDataFrame([(1, "metrics score models"), (2, "xyz")], "query_id long, text string")
     got = {(r["query_id"], r["chunk_id"]): r["score"] for r in R.query_keywords(chunks, q).collect()}
