@@ -255,6 +255,24 @@ def test_secrets_base_and_random(spark, odd):
     assert secretscan.masked(df).columns == df.columns and secretscan.secrets(df.limit(0)).count() == 0
 
 
+def secret_texts(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [[texts[r["doc_id"]][x["start"]:x["end"]] for x in r["spans"]] for r in secretscan.secrets(df).orderBy("doc_id").collect()]
+
+
+def test_secrets_found_beside_few_words(spark):
+    """One rule whatever the number of words in the band."""
+    rng = random.Random(7)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(alphabet) for _ in range(24)) for _ in range(20)]
+    bare = "".join(rng.choice(alphabet[:52]) for _ in range(24))
+    for n in (0, 3, 36):
+        said = [f"see Responsibility{'abcdefghij'[i % 10] * 2}thelong here" for i in range(n)]
+        got = secret_texts(spark, [f"see {k} here" for k in [*keys, bare]] + said)
+        assert sum(x == [k] for x, k in zip(got, keys)) >= 19 and got[20] == [bare]
+        assert not any(got[21:])
+
+
 # 8 and 9 tokens
 
 def test_pieces_join_exactly(library, monkeypatch):
