@@ -1,7 +1,7 @@
 """Secret scans by a battery of randomness tests, in DataFrame functions alone.
 
 Three kinds of span are certain by their form: an assignment to a password-like name, an access key id, a run of hex
-digits. Other secrets show only by looking random. Candidates are runs of 20 to 200 characters of the base64 alphabets
+digits. Other secrets show only by looking random. Candidates are all runs of 12 characters or more of the base64 alphabets,
 with or without digits. For each, the encoding is inferred (hex, base32, base36, base64) and four statistics are taken
 against it: chi-squared of the characters over the alphabet and of the classes (upper case, lower case, others), the
 changes of class between neighbours, and the serial correlation of neighbouring code points. Their squared normal scores
@@ -36,7 +36,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex")
-RANDOM = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])"
+RANDOM = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 RATE = 0.01
 #: What no run with the shape of words holds: digits, and upper and lower case mixed in short pieces.
 UNLIKE = ("[0-9+]|(?<=[A-Z])[a-z]{1,2}(?![a-z])|(?<![A-Za-z])[a-z]{1,2}(?=[A-Z])|(?<![A-Z])[A-Z]{2}(?![A-Z])"

@@ -273,6 +273,15 @@ def test_secrets_found_beside_few_words(spark):
         assert not any(got[21:])
 
 
+def test_secrets_after_signs_long_and_short(spark):
+    rng = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    long, wide, short, one = ("".join(rng.choice(alphabet) for _ in range(n)) for n in (201, 1600, 16, 40))
+    said = [f"AWS_SECRET_ACCESS_KEY={one}", f"http://x.org/?sig={one}", f"private_key={one}==", long, f"({wide}=)", f"see {short} here",
+            "internationalization documentation", "/usr/share/documentation/packages", "=" * 300, "-" * 300, "word" * 100]
+    assert secret_texts(spark, said) == [[one], [one], [one + "=="], [long], [wide + "="], [short], [], [], [], [], []]
+
+
 # 8 and 9 tokens
 
 def test_pieces_join_exactly(library, monkeypatch):
