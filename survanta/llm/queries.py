@@ -11,3 +11,4 @@ from . import secretscan_queries  # noqa: F401
 from . import neardup_queries  # noqa: F401
 from . import passages_queries  # noqa: F401
 from . import mixing_queries  # noqa: F401
+from . import bytebpe_queries  # noqa: F401
