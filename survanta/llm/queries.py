@@ -12,4 +12,5 @@ from . import neardup_queries  # noqa: F401
 from . import passages_queries  # noqa: F401
 from . import mixing_queries  # noqa: F401
 from . import runs_queries  # noqa: F401
+from . import align_queries  # noqa: F401
 from . import bytebpe_queries  # noqa: F401
