@@ -147,12 +147,8 @@ class MLlibModel:
 _ESTIMATORS = {
     "logistic_regression": C.LogisticRegression,
     "linear_svc": C.LinearSVC,
-    "decision_tree_classifier": C.DecisionTreeClassifier,
-    "random_forest_classifier": C.RandomForestClassifier,
     "gradient_boosting_classifier": C.GBTClassifier,
     "elastic_net": R.LinearRegression,
-    "decision_tree_regressor": R.DecisionTreeRegressor,
-    "random_forest_regressor": R.RandomForestRegressor,
     "gradient_boosting_regressor": R.GBTRegressor,
 }
 
@@ -305,25 +301,35 @@ class _KNNModel:
 def classifier(kind: str, **params) -> Learner:
     """Classifier by name with the parameter names of the published grids.
 
-    ``solver`` and ``min_samples_split`` have no MLlib equal and are ignored; depth
-    is limited to MLlib's 30.
+    ``solver`` names a way to the same optimum and is not used; ``penalty`` is "l2". An unknown setting is an error.
     """
     return _named(kind, params)
 
 
 def regressor(kind: str, **params) -> Learner:
-    """Regressor by name; see :func:`classifier`. ``friedman_mse`` is treated as variance."""
+    """Regressor by name; see :func:`classifier`."""
     return _named(kind, params)
 
 
-_RENAMED = {"max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "n_estimators": "numTrees",
-            "learning_rate": "stepSize", "subsample": "subsamplingRate", "max_iter": "maxIter",
-            "alpha": "regParam", "l1_ratio": "elasticNetParam", "criterion": "impurity", "random_state": "seed"}
-_IGNORED = {"solver", "min_samples_split", "penalty", "ccp_alpha"}
+_RENAMED = {"max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "learning_rate": "stepSize",
+            "subsample": "subsamplingRate", "max_iter": "maxIter", "alpha": "regParam", "l1_ratio": "elasticNetParam", "random_state": "seed"}
+
+
+def _trees(kind: str, params: dict) -> Learner:
+    from .tree_learners import Trees
+    classes, forest = kind.endswith("classifier"), kind.startswith("random_forest")
+    own = {"seed" if k == "random_state" else k: v for k, v in params.items()}
+    if forest:
+        own = {"n_estimators": 100, "bootstrap": True, "max_features": "sqrt" if classes else None} | own
+    return Trees(classes, **own)
 
 
 def _named(kind: str, params: dict) -> Learner:
-    params = {k: v for k, v in params.items() if k not in _IGNORED and v is not None}
+    if kind.removesuffix("_classifier").removesuffix("_regressor") in ("decision_tree", "random_forest"):
+        return _trees(kind, params)
+    params = {k: v for k, v in params.items() if v is not None and k != "solver"}
+    if params.pop("penalty", "l2") != "l2":
+        raise ValueError("penalty must be l2")
     if kind in ("knn_classifier", "knn_regressor"):
         return KNN(k=params.get("n_neighbors", 5), weights=params.get("weights", "uniform"))
     if kind == "svr":
@@ -336,14 +342,10 @@ def _named(kind: str, params: dict) -> Learner:
     inverse = params.pop("C", None)
     weight = params.pop("class_weight", None)
     out = {_RENAMED.get(k, k): v for k, v in params.items()}
-    if kind.startswith("gradient") and "numTrees" in out:
-        out["maxIter"] = out.pop("numTrees")
-    if "maxDepth" in out:
-        out["maxDepth"] = min(int(out["maxDepth"]), 30)
-    if out.get("impurity") in ("squared_error", "friedman_mse"):
-        out["impurity"] = "variance"
-    if kind in ("logistic_regression", "linear_svc"):
-        out.setdefault("standardization", False)
-    if kind == "elastic_net":
+    if kind.startswith("gradient") and "n_estimators" in out:
+        out["maxIter"] = out.pop("n_estimators")
+    if out.get("maxDepth", 0) > 30:
+        raise ValueError("boosted trees are grown to a depth of 30 at most")
+    if kind in ("logistic_regression", "linear_svc", "elastic_net"):
         out.setdefault("standardization", False)
     return MLlib(kind, out, weight, inverse, fourier)

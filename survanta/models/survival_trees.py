@@ -1,16 +1,14 @@
-"""Survival trees and their ensembles, grown level by level on histograms.
+"""Survival trees and their ensembles on the common grower.
 
-Features and times are cut into quantile bins. For one level, one aggregate counts
-subjects and events per (tree, node, feature, feature bin, time bin). The size of
-that table depends on the parameters, not on the data; each node's share of it is
-turned into the best log-rank type split. The result is exact when a feature and
-the time have no more distinct values than bins, and approximate otherwise.
+Features and times are cut into quantile bins, so a split is exact when a feature and the time have no more distinct values
+than bins, and approximate otherwise. Leaves hold their subjects and events by time bin as sparse entries; curves are formed
+where they are read. Depth is unlimited unless set.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,62 +16,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.arrays import doubles, search_left
-
-# Weight of a time in the split statistic, from the number at risk.
-WEIGHTS = {"logrank": lambda y: np.ones_like(y), "wilcoxon": lambda y: y, "tarone-ware": np.sqrt}
-
-
-def bin_edges(df: DataFrame, columns, bins: int) -> list[list[float]]:
-    probs = [i / bins for i in range(1, bins)] + [1.0]
-    row = df.agg(*[F.array_distinct(F.percentile_approx(F.col(c).cast("double"), probs, 1000 * bins)) for c in columns]).first()
-    return [sorted(float(v) for v in (e or [])) for e in row]
-
-
-def best_split(cells: pd.DataFrame, shape, spec, tree: int, node: int):
-    """Best cut of one node from its histogram; None when no cut is allowed."""
-    n, d = np.zeros(shape), np.zeros(shape)
-    at = (cells["feature"].to_numpy(), cells["bin"].to_numpy(), cells["tb"].to_numpy())
-    np.add.at(n, at, cells["n"].to_numpy())
-    np.add.at(d, at, cells["d"].to_numpy())
-    left_n, left_d = n.cumsum(axis=1), d.cumsum(axis=1)
-    all_n, all_d = left_n[:, -1:, :], left_d[:, -1:, :]
-    risk = lambda a: a[..., ::-1].cumsum(axis=-1)[..., ::-1]
-    y, yl = risk(all_n), risk(left_n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        share = np.where(y > 0, yl / y, 0.0)
-        w = WEIGHTS[spec.criterion](y)
-        u = (w * (left_d - all_d * share)).sum(axis=-1)
-        spread = np.where(y > 1, all_d * share * (1 - share) * (y - all_d) / (y - 1), 0.0)
-        v = (w * w * spread).sum(axis=-1)
-        stat = np.where(v > 1e-12, u * u / v, -1.0)
-    size = left_n.sum(axis=-1)
-    total = size[0, -1]
-    floor = spec.min_leaf * spec.rows if spec.min_leaf < 1 else spec.min_leaf
-    stat[(size < floor) | (total - size < floor) | (size <= 0) | (total - size <= 0)] = -1.0
-    k = spec.features_per_split(shape[0])
-    if k < shape[0]:
-        rng = np.random.default_rng([spec.seed, tree, node])
-        out = np.setdiff1d(np.arange(shape[0]), rng.choice(shape[0], k, replace=False))
-        stat[out] = -1.0
-    f, b = np.unravel_index(int(stat.argmax()), stat.shape)
-    top = float(stat[f, b])
-    if top <= 0 or (spec.signif is not None and math.erfc(math.sqrt(top / 2)) > spec.signif):
-        return None
-    return int(f), int(b), top
+from .grower import Binning, Forest, LogRank, Spec, bin_edges, draws, grow
+
+#: Bytes of trees that one scoring function ships to the executors; more trees take more functions.
+MODEL_BYTES = 1 << 28
 
 
 @dataclass
 class SurvivalForest:
     """Random survival forest; ``n_trees=1, sample=None`` is a single tree.
 
-    ``min_leaf``: rows, or a share of all rows when below 1. ``sample``: expected
-    share of rows per tree, drawn with replacement by a hash of ``row_id``; None uses
-    every row once. ``signif``: stop when the best split's p-value is above it.
+    ``min_leaf``: rows, or a share of all rows when below 1. ``sample``: expected share of rows per tree, drawn with
+    replacement by a hash of ``row_id``; None uses every row once. ``signif``: stop when the best split's p-value is above
+    it. ``categ``: features whose values are categories. ``local``: rows up to which a node is grown to its end in one group.
     """
 
     n_trees: int = 50
-    max_depth: int = 5
+    max_depth: int | None = 5
     min_leaf: float = 0.01
     max_features: str | int | None = "sqrt"
     sample: float | None = 1.0
@@ -83,64 +42,50 @@ class SurvivalForest:
     bins: int = 32
     time_bins: int = 64
     row_id: str = "row_id"
-    rows: int = 0
+    categ: tuple = ()
+    local: int = 1 << 17
 
     def features_per_split(self, p: int) -> int:
         if self.max_features in (None, "all"):
             return p
         return max(1, int(math.sqrt(p))) if self.max_features == "sqrt" else min(p, int(self.max_features))
 
+    def _hash(self):
+        return F.xxhash64(self.row_id)
+
     def _sampled(self, base: DataFrame) -> DataFrame:
-        """Rows repeated per tree as (tree, node, weight)."""
-        if self.sample is None:
-            return base.withColumn("w", F.lit(1.0))
-        u = (F.xxhash64(self.row_id, "tree", F.lit(self.seed)).bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53)
-        # Poisson draw: how many of the distribution's steps lie at or below u.
-        term = acc = math.exp(-self.sample)
-        drawn, i = F.lit(0.0), 0
-        while acc < 1.0 - 1e-12 and i < 60:
-            drawn = drawn + F.when(u >= acc, 1.0).otherwise(0.0)
-            i += 1
-            term *= self.sample / i
-            acc += term
-        return base.withColumn("w", drawn).where(F.col("w") > 0)
+        """``base`` (with a column ``tree``) with each row's weight in its tree."""
+        share, seed = self.sample, self.seed
+
+        @pandas_udf("double")
+        def weight(h: pd.Series, tree: pd.Series) -> pd.Series:
+            out = np.zeros(len(h))
+            for t in tree.unique():
+                at = (tree == t).to_numpy()
+                out[at] = draws(h[at].to_numpy(), int(t), share, seed)
+            return pd.Series(out)
+
+        return base.withColumn("w", weight(self._hash(), "tree")).where(F.col("w") > 0)
 
     def fit(self, df, features, time="time", cens="cens"):
         features = list(features)
-        self.rows = df.count()
-        edges, times = bin_edges(df, features, self.bins), bin_edges(df, [time], self.time_bins)[0]
-        # Bin b of a feature holds edge[b-1] < x <= edge[b].
-        x = F.array(*[search_left(doubles(e), F.col(f).cast("double")) for f, e in zip(features, edges)])
-        base = df.select(self.row_id, x.alias("bins"),
-                         F.least(search_left(doubles(times), F.col(time).cast("double")), F.lit(len(times) - 1)).alias("tb"),
-                         F.col(cens).cast("double").alias("e")).persist()
-        nodes = 1 << (self.max_depth + 1)
-        feat = np.full((self.n_trees, nodes), -1)
-        cut = np.zeros((self.n_trees, nodes), dtype=int)
-        shape = (len(features), max(len(e) for e in edges) + 1, len(times))
-        spec = self
+        binning = Binning.fit(df, features, self.bins, tuple(f for f in self.categ if f in features))
+        times = bin_edges(df, [time], self.time_bins)[0]
+        cuts = np.array(times)
+
+        @pandas_udf("int")
+        def time_bin(t: pd.Series) -> pd.Series:
+            return pd.Series(np.minimum(np.searchsorted(cuts, t.to_numpy()), len(cuts) - 1).astype(np.int32))
+
+        base = binning.rows(df, self._hash(), time_bin(F.col(time).cast("double")), F.col(cens)).persist()
         try:
-            for level in range(self.max_depth):
-                live = _at_nodes(base, feat, cut, level).where(F.col("node") >= (1 << level))
-                long = self._sampled(live).select("tree", "node", "tb", "w", "e", F.posexplode("bins").alias("feature", "bin"))
-                hist = long.groupBy("tree", "node", "feature", "bin", "tb").agg(
-                    F.sum("w").alias("n"), F.sum(F.col("w") * F.col("e")).alias("d"))
-
-                def choose(key, cells):
-                    got = best_split(cells, shape, spec, int(key[0]), int(key[1]))
-                    return pd.DataFrame([[key[0], key[1], *got]] if got else [], columns=["tree", "node", "feature", "cut", "stat"])
-
-                splits = hist.groupBy("tree", "node").applyInPandas(
-                    choose, "tree int, node int, feature int, cut int, stat double").collect()  # at most n_trees * 2^level
-                if not splits:
-                    break
-                for s in splits:
-                    feat[s["tree"], s["node"]], cut[s["tree"], s["node"]] = s["feature"], s["cut"]
-            leaves = self._sampled(_at_nodes(base, feat, cut, self.max_depth)).groupBy("tree", "node", "tb").agg(
-                F.sum("w").alias("n"), F.sum(F.col("w") * F.col("e")).alias("d")).toPandas()  # leaves * time bins
+            spec = Spec(LogRank(self.criterion, self.signif), binning.bins, len(times), self.n_trees, self.max_depth, self.min_leaf,
+                        per_split=self.features_per_split(len(features)), sample=self.sample, categorical=binning.categorical,
+                        seed=self.seed, local=self.local, rows=base.count())
+            nodes, roots = grow(base, spec)
         finally:
             base.unpersist()
-        return ForestModel(features, edges, times, feat, cut, *_leaf_curves(leaves, self.n_trees, nodes, len(times)))
+        return ForestModel(binning, times, Forest.of(nodes, roots, 2))
 
 
 @dataclass
@@ -148,23 +93,33 @@ class SurvivalTree(SurvivalForest):
     """One tree on all rows."""
 
     n_trees: int = 1
+    max_depth: int | None = None
     min_leaf: float = 20
     max_features: str | int | None = None
     sample: float | None = None
 
 
+def _no_leaf_penalty(l_reg: float) -> None:
+    if l_reg:
+        raise NotImplementedError("the leaf regularisation has no published definition; only l_reg=0 can be fitted")
+
+
 @dataclass
 class CraidTree(SurvivalTree):
     """Single tree with a weighted split statistic and a significance stop.
 
-    ``criterion``: wilcoxon, logrank or tarone-ware; ``min_leaf`` is a share of rows.
-    The leaf regularisation of the original library is not documented and left out.
+    ``criterion``: wilcoxon, logrank or tarone-ware; ``min_leaf`` is a share of rows. ``categ`` names categorical features,
+    which are split by sets of categories.
     """
 
     criterion: str = "wilcoxon"
-    max_depth: int = 4
+    max_depth: int | None = 4
     min_leaf: float = 0.05
     signif: float | None = 0.05
+    l_reg: float = 0
+
+    def __post_init__(self):
+        _no_leaf_penalty(self.l_reg)
 
 
 @dataclass
@@ -172,74 +127,70 @@ class CraidForest(SurvivalForest):
     """Bootstrap ensemble of such trees; ``sample`` is the share drawn per tree."""
 
     criterion: str = "tarone-ware"
-    max_depth: int = 7
+    max_depth: int | None = 7
     min_leaf: float = 0.05
     sample: float | None = 0.7
+    l_reg: float = 0
+
+    def __post_init__(self):
+        _no_leaf_penalty(self.l_reg)
 
 
-def _walk(bins: np.ndarray, feat: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
-    """Node of every row in every tree after at most ``depth`` splits (rows x trees)."""
-    trees = np.arange(feat.shape[0])[None, :]
-    node = np.ones((len(bins), feat.shape[0]), dtype=int)
-    rows = np.arange(len(bins))[:, None]
-    for _ in range(depth):
-        f = feat[trees, node]
-        right = bins[rows, np.maximum(f, 0)] > cut[trees, node]
-        node = np.where(f >= 0, 2 * node + right, node)
-    return node
-
-
-def _at_nodes(base: DataFrame, feat, cut, depth: int) -> DataFrame:
-    """One row per subject and tree with the node it has reached."""
-    if depth == 0:
-        nodes = F.array(*[F.lit(1)] * feat.shape[0])
-    else:
-        @pandas_udf("array<int>")
-        def reach(bins: pd.Series) -> pd.Series:
-            return pd.Series(list(_walk(np.stack(bins.to_numpy()), feat, cut, depth)))
-        nodes = reach("bins")
-    return base.select(*base.columns, F.posexplode(nodes).alias("tree", "node"))
-
-
-def _leaf_curves(leaves: pd.DataFrame, n_trees: int, nodes: int, k: int):
-    """Survival and cumulative hazard per (tree, node) on the time bins."""
-    n, d = np.zeros((n_trees, nodes, k)), np.zeros((n_trees, nodes, k))
-    at = (leaves["tree"].to_numpy(), leaves["node"].to_numpy(), leaves["tb"].to_numpy())
-    n[at], d[at] = leaves["n"].to_numpy(), leaves["d"].to_numpy()
-    y = n[..., ::-1].cumsum(axis=-1)[..., ::-1]
-    h = np.divide(d, y, out=np.zeros_like(d), where=y > 0)
-    return (1 - h).cumprod(axis=-1), h.cumsum(axis=-1)
+def leaf_curves(forest: Forest, leaves: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Survival and cumulative hazard of the named leaves on the ``k`` time bins."""
+    sizes = np.diff(forest.start)[leaves]
+    at = np.repeat(forest.start[leaves] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    cells = np.zeros((len(leaves), k, 2))
+    cells[np.repeat(np.arange(len(leaves)), sizes), forest.channel[at]] = forest.sums[at]
+    y = cells[:, ::-1, 0].cumsum(axis=1)[:, ::-1]
+    h = np.divide(cells[..., 1], y, out=np.zeros(y.shape), where=y > 0)
+    return (1 - h).cumprod(axis=1), h.cumsum(axis=1)
 
 
 @dataclass
 class ForestModel:
-    features: list
-    edges: list
+    binning: Binning
     times: list
-    feat: np.ndarray
-    cut: np.ndarray
-    surv: np.ndarray = field(repr=False)
-    cumhaz: np.ndarray = field(repr=False)
-
-    def _mean_curve(self, df, grid, name, table, start):
+    forest: Forest
+
+    @property
+    def feat(self) -> np.ndarray:
+        """Features of the trees' nodes, with the root of each at place 1; -1 where a node does not split."""
+        trees = [self.forest.take([t]) for t in range(len(self.forest.roots))]
+        out = np.full((len(trees), max(len(t.feature) for t in trees) + 1), -1)
+        for i, t in enumerate(trees):
+            out[i, 1:len(t.feature) + 1] = np.roll(t.feature, -int(t.roots[0]))
+        return out
+
+    def _mean_curve(self, df, grid, name, which, start):
         """Average of the leaf curves over trees, read as step functions on the grid."""
         at = np.searchsorted(np.array(self.times), np.array(grid, float), side="right") - 1
-        flat = np.where(at[None, None, :] >= 0, table[..., np.maximum(at, 0)], start)
-        feat, cut, depth = self.feat, self.cut, int(math.log2(self.feat.shape[1])) - 1
-
-        @pandas_udf("array<double>")
-        def predict(bins: pd.Series) -> pd.Series:
-            node = _walk(np.stack(bins.to_numpy()), feat, cut, depth)
-            total = np.zeros((len(node), flat.shape[2]))
-            for t in range(node.shape[1]):
-                total += flat[t, node[:, t]]
-            return pd.Series(list(total / node.shape[1]))
-
-        x = F.array(*[search_left(doubles(e), F.col(f).cast("double")) for f, e in zip(self.features, self.edges)])
-        return df.withColumn(name, predict(x))
+        binning, k, n = self.binning, len(self.times), len(self.forest.roots)
+        sc = df.sparkSession.sparkContext
+
+        def summed(part):
+            held = sc.broadcast(part)  # bounded by MODEL_BYTES
+
+            @pandas_udf("array<double>")
+            def predict(values: pd.Series) -> pd.Series:
+                forest, total = held.value, np.zeros((len(values), len(at)))
+                node = forest.walk(binning.of(np.stack(values.to_numpy())))
+                for t in range(node.shape[1]):
+                    leaves, row = np.unique(node[:, t], return_inverse=True)
+                    curve = leaf_curves(forest, leaves, k)[which]
+                    total += np.where(at >= 0, curve[:, np.maximum(at, 0)], start)[row]
+                return pd.Series(list(total / n))
+
+            return predict(binning.values())
+
+        columns = [summed(p) for p in self.forest.parts(MODEL_BYTES)]
+        out = columns[0]
+        for c in columns[1:]:
+            out = F.zip_with(out, c, lambda a, b: a + b)
+        return df.withColumn(name, out)
 
     def survival(self, df, grid, name="sf"):
-        return self._mean_curve(df, grid, name, self.surv, 1.0)
+        return self._mean_curve(df, grid, name, 0, 1.0)
 
     def hazard(self, df, grid, name="hf"):
-        return self._mean_curve(df, grid, name, self.cumhaz, 0.0)
+        return self._mean_curve(df, grid, name, 1, 0.0)
