@@ -19,38 +19,43 @@ BUCKET = "_bucket"
 GROUP = "_group"
 
 
-# A range gets at least this many cells; a group with fewer stays in one range.
+# A range gets at least this many cells.
 RANGE_CELLS = 1000
 
 
 def place(cells: DataFrame, by, key: str, touch: Column | None = None) -> DataFrame:
     """Add ``_bucket`` (key range of the row inside its group) and, with groups, ``_group``.
 
-    ``_group`` packs the group columns in a struct, so that later joins and windows
-    share one hash partitioning and NULL groups match. The range ends come from a
-    mergeable quantile sketch of the cells: up to one range per shuffle partition and
-    group, thinned out for small groups. They steer balance only, any split gives the
-    same result. ``touch`` names the payload, so that the sketch reads the same
-    columns as the main path and Spark reuses the shuffle that built the cells.
+    ``_group`` packs the group columns in a struct, so that later joins and windows share one hash partitioning and NULL
+    groups match. With ``n`` shuffle partitions the ``n`` largest groups get ranges by their share of these groups' cells,
+    ``ceil(n * share)``; the ends come from a mergeable quantile sketch of the cells. Any further group has less than one
+    n-th of the cells, is one range and needs no ends. So ``n`` groups have about ``n`` ends in all: that table is broadcast,
+    and no row is dealt by its group. Ends steer balance only, any split gives the same result. ``touch`` names the payload, so that the sketch reads
+    the same columns as the main path and Spark reuses the shuffle that built the cells.
     """
     by = list(by)
     n = max(2, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     x = F.col(key).cast("double")
     probs = [i / n for i in range(1, n)]
     seen = x if touch is None else F.when(touch >= 0, x)
-    sketch = F.coalesce(F.array_distinct(F.percentile_approx(seen, probs, 20 * n)),
-                        F.array().cast("array<double>"))
-    stride = F.ceil(F.lit(n * RANGE_CELLS) / F.count(seen)).cast("int")
-    summary = F.struct(sketch.alias("ends"), F.coalesce(stride, F.lit(1)).alias("stride")).alias("_sketch")
+    sketch = F.coalesce(F.array_distinct(F.percentile_approx(seen, probs, 20 * n)), F.array().cast("array<double>"))
+    summary = [sketch.alias("_sketch"), F.count(seen).alias("_cells")]
     if by:
-        keyed = cells.withColumn(GROUP, F.struct(*by))
-        sketches = keyed.groupBy(GROUP).agg(summary)
+        cells = cells.withColumn(GROUP, F.struct(*by))
+        large = cells.groupBy(GROUP).agg(*summary).orderBy(F.desc("_cells")).limit(n)
+        packed = large.agg(F.sum("_cells").alias("_all"), F.collect_list(F.struct(GROUP, "_sketch", "_cells")).alias("_g"))  # n entries
+        sketches = packed.select("_all", F.inline("_g"))
     else:
-        sketches = cells.agg(summary)  # one row
-    ends = F.filter(F.col("_sketch.ends"), lambda e, i: (i + 1) % F.col("_sketch.stride") == 0)
-    sketches = sketches.withColumn("_ends", ends).drop("_sketch")
-    placed = keyed.join(sketches, GROUP) if by else cells.crossJoin(F.broadcast(sketches))
-    return placed.withColumn(BUCKET, search_left(F.col("_ends"), x)).drop("_ends")
+        sketches = cells.agg(*summary).withColumn("_all", F.col("_cells"))  # one row
+    ranges = F.least(F.ceil(n * F.col("_cells") / F.when(F.col("_all") > 0, F.col("_all"))), F.floor(F.col("_cells") / RANGE_CELLS))
+    spread = sketches.withColumn("_ranges", ranges).where(F.col("_ranges") > 1)
+    if not by:
+        spread = sketches.withColumn("_ranges", F.greatest(F.coalesce(ranges, F.lit(1)), F.lit(1)))
+    # Of n - 1 ends keep those nearest to equal shares.
+    ends = F.filter("_sketch", lambda e, i: F.floor((i + 1) * F.col("_ranges") / n) > F.floor(i * F.col("_ranges") / n))
+    spread = spread.select(*([GROUP] if by else []), ends.alias("_ends"))
+    placed = cells.join(F.broadcast(spread), GROUP, "left") if by else cells.crossJoin(F.broadcast(spread))
+    return placed.withColumn(BUCKET, F.when(F.col("_ends").isNull(), 0).otherwise(search_left(F.col("_ends"), x))).drop("_ends")
 
 
 def running(df: DataFrame, order, sums: dict, before: bool = False, whole: dict | None = None) -> DataFrame:

@@ -83,3 +83,35 @@ def test_no_single_partition_exchange_over_rows(spark, sf_dir):
     from survanta.plans.inputs import orders_tte
     plan = km(orders_tte(spark, sf_dir), "time", "cens", ["grp"])._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_a_hot_group_is_spread_without_automatic_broadcasts(spark, monkeypatch):
+    """99 per cent of the rows in one group: no task gets more than two shares of the rows."""
+    monkeypatch.setattr(prefix, "RANGE_CELLS", 1000)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n = 80_000
+        df = spark.range(n).select(F.when(F.col("id") % 100 == 0, F.pmod(F.hash("id"), F.lit(50))).otherwise(-1).alias("g"), (F.col("id") * 7919 % n).cast("double").alias("v"))
+        out = prefix.row_numbers(df, ["g"], "v", ["v"])
+        per_task = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(per_task) == n and max(per_task) < 3 * n / 8
+        hot = out.where("g = -1").agg(F.count_distinct("position"), F.min("position"), F.max("position")).first()
+        assert tuple(hot) == (79_200, 1, 79_200)
+        placed = prefix.place(df, ["g"], "v")
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        ends = placed.where("g = -1").select(prefix.BUCKET).distinct().count()
+        assert 6 <= ends <= 9 and placed.where("g <> -1").select(prefix.BUCKET).distinct().count() == 1
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_many_groups_have_few_ends(spark):
+    df = spark.range(4000).select((F.col("id") % 1000).alias("g"), F.col("id").cast("double").alias("v"))
+    placed = prefix.place(df, ["g"], "v")
+    assert placed.select(prefix.BUCKET).distinct().collect()[0][0] == 0
+    got = prefix.row_numbers(df, ["g"], "v", ["v"])
+    assert got.groupBy("g").agg(F.max("position").alias("m")).where("m <> 4").count() == 0
