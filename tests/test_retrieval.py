@@ -1,5 +1,7 @@
 """Chunking, indexes, retrieval order and context."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,7 @@ def test_latex(spark):
     ("\\subsection*{Plan}\n\\begin{itemize}\\item one\\end{itemize}", "# Plan one "),
     ("\\emph{very} \\url{x.org}. {Braced} \\alpha*[o]rest", "very x.org.\nBraced rest"),
     ("\\section{\\textbf{In}}", " In "),
+    ("x\\textbf{y}z {q}w \\% cut", "xyz q w \\"), ("\\section{Open", " Open"), ("\\textit{} e", " e"), ("\\emph*{a}b", " a b"),
     ("", ""), (None, None)])
 def test_latex_cases(spark, tex, want):
     assert spark.createDataFrame([(tex,)], "t string").select(T.clean_latex(F.col("t"))).first()[0] == want
@@ -111,3 +114,51 @@ def test_context_and_history(spark, chunks):
     conv = spark.createDataFrame([(1, i, "system" if i == 9 else "user", " m%d " % i if i != 8 else "  ") for i in range(12)],
                                  "conv_id long, turn long, role string, text string")
     assert [r["text"] for r in R.history(conv).orderBy("turn").collect()] == ["m4", "m5", "m6", "m7", "m10", "m11"]
+
+
+def dense(rng):
+    """A few common words fill every text; many ties."""
+    common, rare = [f"c{i}" for i in range(8)], [f"r{i}" for i in range(400)]
+    texts = [" ".join([*(rng.choice(common) for _ in range(rng.randrange(1, 30))), *(rng.choice(rare) for _ in range(rng.randrange(3)))]) for _ in range(500)]
+    texts[10:20] = [texts[9]] * 10
+    return texts, [" ".join([*rng.sample(common, 3), *rng.sample(rare, 3)]) for _ in range(30)]
+
+
+def graded(rng):
+    """Words by falling frequency, questions that are pieces of texts."""
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(20, 60))) for _ in range(500)]
+    return texts, [" ".join(rng.choice(texts).split()[5:17]) for _ in range(30)]
+
+
+@pytest.mark.parametrize("make, share", [(dense, 1.0), (graded, 0.25)])
+def test_bounds_skip_blocks_and_change_nothing(spark, monkeypatch, make, share):
+    """Small blocks and parts: the same rows as the sum over all postings, from fewer pairs where words differ in frequency."""
+    texts, asked = make(random.Random(4))
+    c = frame(spark, [(i, "s", "t", t) for i, t in enumerate(texts)])
+    q = spark.createDataFrame([*enumerate(asked), (90, "c1"), (91, texts[9]), (92, "nothing known"), (93, "")], "query_id long, text string")
+    monkeypatch.setattr(R, "BLOCK", 4)
+    monkeypatch.setattr(R, "PART", 100)
+    idx = R.index(c)
+    counts = R.term_counts(q, "query_id", R.with_bigrams(R.words(F.col("text"))))
+    w = R._weights(counts, idx["idf"], "query_id").withColumnRenamed("w", "_q").persist()
+    scores = idx["postings"].join(w, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("_q")).alias("score")).persist()
+    for k in (1, 6, 1000):
+        want = sorted(tuple(r) for r in R._ranked(scores, k).select("query_id", "chunk_id", "score", "rank").collect())
+        got = sorted(tuple(r) for r in R.query_tfidf(idx, q, k).select("query_id", "chunk_id", "score", "rank").collect())
+        assert [(r[0], r[1], r[3]) for r in got] == [(r[0], r[1], r[3]) for r in want]
+        assert all(abs(a[2] - b[2]) < 1e-8 for a, b in zip(got, want))
+    assert R.tfidf_candidates(idx["blocks"], w, 6).count() < share * scores.count()
+    assert idx["blocks"].agg(F.max(F.size("list"))).first()[0] == 4
+
+
+def test_row_counts_equal_counts_by_shuffle(spark):
+    c = frame(spark, [(1, "s", "t", "b a b"), (2, "s", "t", ""), (3, "s", "t", None), (4, "s", "t", "a a a a")])
+    count = lambda f: sorted(tuple(r) for r in f(c, "chunk_id", R.words(F.col("text"))).collect())
+    assert count(R.row_term_counts) == count(R.term_counts)
+
+
+def test_a_filter_on_terms_reaches_the_postings(spark):
+    """The blocks' window and grouping lie above the semi-join of the terms."""
+    blocks = R.index(frame(spark, [(1, "s", "t", "a b c")]))["blocks"]
+    plan = blocks.join(spark.createDataFrame([("a",)], "term string"), "term", "left_semi")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("LeftSemi")
