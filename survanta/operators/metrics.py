@@ -6,8 +6,11 @@ of them pairs subjects up or sorts a group in one task.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import curve
 from ..functions.arrays import doubles
@@ -167,35 +170,72 @@ def concordance(df: DataFrame, time: str, cens: str, risk: str, by=(), require_e
         F.sum("_win") + F.sum("_tie") / 2.0, F.sum("_all").cast("double")).alias(name))
 
 
+def _step_sums(rows: DataFrame, by, time: str, cens: str, grid) -> DataFrame:
+    """Per task and group one row of fixed length: ``_n`` rows and, per grid point, the weighted squared curves of those with
+    an event so far (``_done``) and the squared complements of those still at risk (``_alive``)."""
+    pts, k = np.array(grid), len(grid)
+
+    def add(batches):
+        known: dict[tuple, int] = {}
+        done, alive, sizes = [], [], []
+        for batch in batches:
+            names = batch.column_names
+            cells = list(zip(*[batch.column(b).to_pylist() for b in by])) if by else [()] * batch.num_rows
+            code = np.fromiter((known.setdefault(c, len(known)) for c in cells), np.int64, batch.num_rows)
+            while len(done) < len(known):
+                done.append(np.zeros(k))
+                alive.append(np.zeros(k))
+                sizes.append(0)
+            at = lambda c, kind=float: batch.column(names.index(c)).to_numpy(zero_copy_only=False).astype(kind)
+            t, e, g = at("_t"), batch.column(names.index("_e")).fill_null(False).to_numpy(zero_copy_only=False), at("_gb")
+            lists = batch.column(names.index("_s"))
+            full = np.flatnonzero(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == k)
+            for c, n in zip(*np.unique(code, return_counts=True)):
+                sizes[c] += int(n)
+            if not len(full):
+                continue
+            s = np.nan_to_num(lists.take(pa.array(full)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, k))
+            t, e, g, code = t[full], e[full], g[full], code[full]
+            over = np.divide(1.0, g, out=np.zeros(len(g)), where=np.nan_to_num(g) > 0)
+            first = np.where(e[:, None] & (t[:, None] <= pts), s * s * over[:, None], 0.0)
+            second = np.where(t[:, None] > pts, (1 - s) ** 2, 0.0)
+            for c in np.unique(code):
+                done[c] += first[code == c].sum(axis=0)
+                alive[c] += second[code == c].sum(axis=0)
+        if known:
+            keys = list(known)
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array([c[i] for c in keys], kinds[i]) for i in range(len(by))], pa.array(sizes, pa.int64()),
+                 pa.array([d.tolist() for d in done], pa.list_(pa.float64())), pa.array([a.tolist() for a in alive], pa.list_(pa.float64()))],
+                [*by, "_n", "_done", "_alive"])
+
+    part = rows.select(*by, F.col(time).cast("double").alias("_t"), F.col(cens).cast("boolean").alias("_e"), F.col("_gb").cast("double"), "_s")
+    kinds = [to_arrow_type(part.schema[b].dataType) for b in by]
+    fields = "".join(f"`{b}` {part.schema[b].dataType.simpleString()}, " for b in by)
+    return part.mapInArrow(add, fields + "_n long, _done array<double>, _alive array<double>")
+
+
 def ibs(df: DataFrame, time: str, cens: str, s: str, grid, by=(), name: str = "ibs") -> DataFrame:
     """Integrated Brier score with inverse-probability-of-censoring weights.
 
-    The squared errors are summed per distinct time before the censoring weight of
-    that time is joined, so no time value gets more than one row per grid point.
+    A row is joined with the censoring weight of its time; each task then adds its rows up to one array per group, and the
+    arrays are added. No row goes with a single grid point.
     """
     by = list(by)
     grid = [float(t) for t in grid]
     table = censor_km(df, time, cens, by)
     ahead = evaluate(table, time, grid, by).select(*by, "k", F.col("value").alias("_g"))
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    pts = doubles(grid)
-    long = df.select(*by, time, cens, F.posexplode(s).alias("k", "_s")).withColumn("_t", F.get(pts, F.col("k")))
-    done = long.where(F.col(cens) & (F.col(time) <= F.col("_t"))).groupBy(*by, time, "k").agg(
-        F.sum(F.col("_s") * F.col("_s")).alias("_sq"))
     weights = table.select(*by, time, F.col("surv_before").alias("_gb"))
-    first = join_keys(done, weights, by + [time]).where(F.col("_gb") > 0).groupBy(*by, "k").agg(
-        F.sum(F.col("_sq") / F.col("_gb")).alias("_bs"))
-    alive = long.where(F.col(time) > F.col("_t")).groupBy(*by, "k").agg(
-        F.sum((1.0 - F.col("_s")) * (1.0 - F.col("_s"))).alias("_sq"))
-    second = join_keys(alive, ahead, by + ["k"]).where(F.col("_g") > 0).select(
-        *by, "k", (F.col("_sq") / F.col("_g")).alias("_bs"))
-    both = first.unionByName(second).groupBy(*by, "k").agg(F.sum("_bs").alias("_bs"))
+    rows = join_keys(df.select(*by, time, cens, F.col(s).cast("array<double>").alias("_s")), weights, by + [time], "left")
+    parts = _step_sums(rows, by, time, cens, grid)
+    points = parts.select(*by, "_n", F.posexplode(F.arrays_zip("_done", "_alive")).alias("k", "_c")).groupBy(*by, "k").agg(
+        F.sum("_n").alias("_n"), F.sum("_c._done").alias("_done"), F.sum("_c._alive").alias("_alive"))
+    score = F.col("_done") + F.when(F.col("_g") > 0, F.col("_alive") / F.col("_g")).otherwise(0.0)
     # Trapezoid weights of the grid turn the integral into one weighted sum.
     n = len(grid)
     gap = lambda i: grid[i] - grid[i - 1] if 0 < i < n else 0.0
     w = doubles([(gap(i) + gap(i + 1)) / 2.0 / grid[-1] for i in range(n)])
-    summed = both.groupBy(*by).agg(F.sum(F.col("_bs") * F.get(w, F.col("k"))).alias("_sum"))
-    return join_keys(sizes, summed, by).select(*by, (F.col("_sum") / F.col("_n")).alias(name))
+    return _agg(join_keys(points, ahead, by + ["k"]), by, (F.sum(score * F.get(w, F.col("k"))) / F.max("_n")).alias(name))
 
 
 def auprc_column(s: Column, grid: Column, time: Column, cens: Column, steps: int = 100) -> Column:
