@@ -145,3 +145,21 @@ def table_text(df: DataFrame, max_rows: int = 12, max_metrics: int = 12) -> Data
     return join_keys(sizes, body, ["dataset"]).select(
         F.concat(F.lit("tables/"), F.col("dataset")).alias("source"),
         F.concat(F.lit("Результаты "), F.col("dataset")).alias("title"), text.alias("text"))
+
+
+def board_text(board: DataFrame, name: str, columns, max_rows: int = 16) -> DataFrame:
+    """Preview text of a leaderboard, one sheet per task: headline, the columns' names and its first rows as CSV.
+
+    ``columns`` are shown in their order; rows go by ``overall_position``, then ``method``.
+    """
+    from pyspark.sql import Window
+    head = [c for c in columns if c in board.columns]
+    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in head])
+    order = Window.partitionBy("task").orderBy("overall_position", "method", "_line")
+    top = board.withColumn("_line", line).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_rows)
+    body = top.groupBy("task").agg(F.array_sort(F.collect_list(F.struct("_n", "_line"))).alias("_l"))
+    sizes = board.groupBy("task").agg(F.count(F.lit(1)).alias("_rows"))
+    text = F.concat(F.lit(f"Сводная таблица рангов {name}, лист "), F.col("task"), F.lit(".\nСтрок: "), F.col("_rows").cast("string"),
+                    F.lit(". Колонки: " + ", ".join(head[:16]) + ".\n" + ",".join(head) + "\n"),
+                    F.array_join(F.transform("_l", lambda r: r["_line"]), "\n"), F.lit("\n"))
+    return join_keys(sizes, body, ["task"]).select(F.lit(f"tables/{name}").alias("source"), F.concat(F.lit("Таблица "), F.col("task")).alias("title"), text.alias("text"))

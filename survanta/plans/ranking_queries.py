@@ -172,6 +172,20 @@ def leaderboard_stored(spark, sf_dir):
     return store.read_leaderboard(spark, root).drop("avg_position")
 
 
+@query("leaderboard_chunks", f"""WITH {METRICS}, {BLOCKS_SQL},
+g AS (SELECT upper(task) AS task, method, count(DISTINCT dataset) AS datasets, avg(rs) AS a, avg(p) AS b FROM pos WHERE task <> 'overall' GROUP BY task, method),
+r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY a, b, method) AS n, count(*) OVER (PARTITION BY task) AS c FROM g)
+SELECT 'tables/leaderboard' AS source, 'Таблица ' || task AS title, 'Сводная таблица рангов leaderboard, лист ' || task || '.' || chr(10) || 'Строк: ' || max(c) || '. Колонки: method, datasets, overall_position.' || chr(10)
+ || 'method,datasets,overall_position' || chr(10) || string_agg(method || ',' || datasets || ',' || n, chr(10) ORDER BY n) || chr(10) AS text FROM r WHERE n <= 16 GROUP BY task""")
+def leaderboard_chunks(spark, sf_dir):
+    t = ranking.blocks(metric_wide(spark, sf_dir))
+    boards = [ranking.overall(t, task) for task in TASKS]
+    every = boards[0]
+    for b in boards[1:]:
+        every = every.unionByName(b)
+    return mt.board_text(every, "leaderboard", ["method", "datasets", "overall_position"])
+
+
 @query("rank_diagnostics", f"""WITH {METRICS}
 SELECT dataset, count(*) AS rows, 'ok' AS status,
  concat_ws(', ', CASE WHEN count(rmse_time_mean) > 0 THEN 'RMSE_TIME_mean' END, CASE WHEN count(r2_time_mean) > 0 THEN 'R2_TIME_mean' END, CASE WHEN count(mape_time_mean) > 0 THEN 'MAPE_TIME_mean' END,

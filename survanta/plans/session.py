@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Rows with whole texts differ in size; batches for Python workers are cut by bytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
