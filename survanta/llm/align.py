@@ -15,7 +15,10 @@ documents over the whole corpus.
 
 Encoding looks up units of text: stretches that begin with a space after a character that is no white space. No piece of B
 holds a space behind another character (checked when the vocabulary is read), and the pattern of A ends a match before
-such a space, so a unit has the same tokens alone as in its text.
+such a space, so a unit has the same tokens alone as in its text. Where A's ids follow its merges, units of
+Latin characters (on whose classes all versions of Unicode agree) are encoded from these ranks by the faster of the two
+public BPE libraries; the ids are the same. Every unit is checked to be spelt by its tokens. A unit starts at an anchor, so
+the windows of a text are those of its units, and tokens and windows are formed once per different unit of a block.
 
 Defined cases: a text that is null or empty, or that A's or B's tokens do not spell byte for byte, has no tokens and zeros
 in all numbers, with empty groups; strings of special tokens are plain text; of repeated rows each counts as a document; a
@@ -25,30 +28,36 @@ called. A group of very many tokens is linked by its different ids and their mul
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import by_bytes
+from .batches import by_bytes, packed, unpacked
 from .shared import stored
 
 #: Bytes of text of a block; a longer text is a block of its own.
-BLOCK = 1 << 23
-UNITS_KEPT = 300_000
+BLOCK = 1 << 21
+#: Places of windows whose id pairs are counted together.
+PLACES = 1 << 17
+UNITS_KEPT = 200_000
 #: A longer unit is encoded each time.
 UNIT = 256
+#: The last character of the Latin blocks.
+LATIN = "\u024f"
 #: Groups with more links are linked by different ids.
 LINKS = 1 << 14
 #: White space in the sense of any of the three engines; a unit starts at a space behind something else.
 WHITE = r"\s\u180e"
+GPT_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed: the split of byte-level models
 UNITS = re.compile(rf"[{WHITE}]*[^{WHITE}]+(?:(?! )[{WHITE}]+[^{WHITE}]*)*|[{WHITE}]+")
 
 
@@ -67,7 +76,6 @@ class Side:
         self.kind = np.dtype("<u2" if len(raw) <= 1 << 16 else "<u4")
         self.length = np.array([len(r) for r in raw], np.int64)
         self.spaced = np.array([r.startswith(b" ") for r in raw])
-        self.shown = [str(i) for i in range(len(raw))]
 
 
 class Pair:
@@ -90,43 +98,75 @@ class Pair:
         if any("▁" in p.lstrip("▁") or " " in p for p in pieces):
             raise ValueError("a piece goes on behind a space, so units have no tokens of their own")
         self.b = Side([bytes([int(p[3:5], 16)]) if self.sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
-        self.space = np.array([self.sp.piece_to_id("▁")], self.b.kind).tobytes()
-        #: Unit to the bytes of its ids; None where the ids do not spell it.
+        self.space = self.sp.piece_to_id("▁")
+        self.ranked = self._ranked(spec["model"])
+        #: Unit to the bytes of its ids; None where they do not spell it.
         self.kept: dict[str, tuple[bytes, bytes] | None] = {}
 
-    def know(self, units: set[str]) -> None:
+    def _ranked(self, model: dict):
+        import tiktoken
+        merges = [m.replace(" ", "", 1) if isinstance(m, str) else "".join(m) for m in model["merges"]]
+        if any(model["vocab"].get(m) != 256 + i for i, m in enumerate(merges)):
+            return None
+        as_byte = byte_of()
+        known = [*as_byte, *merges]
+        ranks = {bytes(map(as_byte.__getitem__, t)): model["vocab"][t] for t in known}
+        return tiktoken.Encoding("from merges", pat_str=GPT_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
         new = [u for u in units if u not in self.kept]
+        gc.disable()  # many small lists come and go, none in cycles
         for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            a = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-            # B puts a space before what it is given, so the unit's own first space is left to it.
-            b = self.sp.encode([u[1:] for u in part], num_threads=1)
-            for u, x, y in zip(part, a, b):
-                raw = u.encode()
-                xs, ys = np.array(x, self.a.kind).tobytes(), np.array(y, self.b.kind).tobytes() if u != " " else self.space
-                ok = b"".join(map(self.a.raw.__getitem__, x)) == raw and (u == " " or b"".join(map(self.b.raw.__getitem__, y)) == raw)
-                self.kept[u] = (xs, ys) if ok else None
-
-    def forget(self) -> None:
+            self._encode(new[i:i + 4096])
+        gc.enable()
+        out = list(map(self.kept.__getitem__, units))
         if len(self.kept) > UNITS_KEPT:
             self.kept.clear()
         else:
-            for u in [u for u in self.kept if len(u) > UNIT]:
+            for u in [u for u in new if len(u) > UNIT]:
                 del self.kept[u]
+        return out
+
+    def _encode(self, units: list[str]) -> None:
+        plain = [u for u in units if self.ranked is not None and max(u) <= LATIN]
+        other = [u for u in units if self.ranked is None or max(u) > LATIN]
+        units = plain + other
+        a = list(map(self.ranked.encode_ordinary, plain)) if plain else []
+        if other:
+            a += [e.ids for e in self.tok.encode_batch_fast(other, add_special_tokens=False)]
+        # B puts a space before what it is given, so the unit's own first space is left to it; alone, it is a piece.
+        b = self.sp.encode([u[1:] for u in units], num_threads=1)
+        b = [y if u != " " else [self.space] for u, y in zip(units, b)]
+        raw = [u.encode() for u in units]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        right, both = np.ones(len(units), bool), []
+        for side, ids in ((self.a, a), (self.b, b)):
+            flat = np.fromiter(chain.from_iterable(ids), side.kind)
+            ends = np.cumsum(np.fromiter(chain([0], map(len, ids)), np.int64, len(ids) + 1))
+            upto = np.concatenate([[0], np.cumsum(side.length[flat])])
+            right &= np.diff(upto[ends]) == sizes
+            if b"".join(map(side.raw.__getitem__, flat.tolist())) != b"".join(raw):
+                right &= [b"".join(map(side.raw.__getitem__, x)) == r for x, r in zip(ids, raw)]
+            data, at = flat.tobytes(), (ends * side.kind.itemsize).tolist()
+            both.append(map(data.__getitem__, map(slice, at, at[1:])))
+        self.kept.update(zip(units, zip(*both)))
+        self.kept.update((units[i], None) for i in np.flatnonzero(~right))
+
+    def units(self, texts: list[str]) -> tuple[list[np.ndarray], list[tuple[bytes, bytes]]]:
+        """The different units of the texts as pairs of ids, and each text's units by number; none where tokens do not spell
+        the text."""
+        number: dict[str, int] = defaultdict(count().__next__)
+        seqs = [np.fromiter(map(number.__getitem__, UNITS.findall(" " + t)), np.int64) if t else np.empty(0, np.int64) for t in texts]
+        ids = self.ids(list(number))
+        bad = np.array([i for i, x in enumerate(ids) if x is None], np.int64)
+        if len(bad):
+            seqs = [q if not np.isin(bad, q).any() else q[:0] for q in seqs]
+        return seqs, [x or (b"", b"") for x in ids]
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Both sides' ids of each text as bytes; none where they do not spell it."""
-        a, b = [], []
-        for t in texts:
-            units = UNITS.findall(" " + t) if t else []
-            self.know(set(units))
-            got = [self.kept[u] for u in units]
-            if None in got:
-                got = []
-            a.append(b"".join([x for x, _ in got]))
-            b.append(b"".join([y for _, y in got]))
-        self.forget()
-        return a, b
+        seqs, ids = self.units(texts)
+        return tuple([b"".join([ids[i][s] for i in q.tolist()]) for q in seqs] for s in (0, 1))
 
 
 @lru_cache(maxsize=2)
@@ -157,17 +197,26 @@ def windows(own: Pair, a_texts: list[bytes], b_texts: list[bytes]) -> tuple[np.n
     i, j = i[anchor] + 1, j[anchor] + 1
     ab, bb, sa, sb = a.tobytes(), b.tobytes(), own.a.kind.itemsize, own.b.kind.itemsize
     ai, bj = (i * sa).tolist(), (j * sb).tolist()
-    keys = [(ab[p:q], bb[r:s]) for p, q, r, s in zip([0, *ai[:-1]], ai, [0, *bj[:-1]], bj)]
-    seq = np.fromiter(map(number.__getitem__, keys), np.uint32, len(keys))
+    seq = np.fromiter((number[ab[p:q], bb[r:s]] for p, q, r, s in zip([0, *ai[:-1]], ai, [0, *bj[:-1]], bj)), np.uint32, len(ai))
     before = np.searchsorted(i, text_ends, side="right")
     return np.diff(before, prepend=0).astype(np.int32), seq, list(number)
 
 
+def expanded(texts: list[np.ndarray], of_unit: np.ndarray, unit_seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of windows and the windows' numbers of each text, from its units and theirs."""
+    flat = np.concatenate(texts) if texts else np.empty(0, np.int64)
+    per = of_unit[flat].astype(np.int64) if len(flat) else np.empty(0, np.int64)
+    begin = np.cumsum(of_unit, dtype=np.int64) - of_unit
+    at = np.repeat((begin[flat] if len(flat) else per) - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
+    upto, ends = np.concatenate([[0], np.cumsum(per)]), np.cumsum([len(t) for t in texts]).astype(np.int64)
+    return np.diff(upto[ends], prepend=0).astype(np.int32), unit_seq[at].astype(np.uint32)
+
+
 class Aligned:
     """Groups and links of each of a list of windows, and the different id pairs with their multiplicities."""
 
     def __init__(self, own: Pair, a_sizes: np.ndarray, a: np.ndarray, b_sizes: np.ndarray, b: np.ndarray):
-        self.own, self.n = own, len(a_sizes)
+        self.own, self.n, self.a_sizes, self.b_sizes = own, len(a_sizes), a_sizes, b_sizes
         self.a, self.b = a.astype(np.int64), b.astype(np.int64)
         i, j = shared_ends(own, self.a, self.b)
         self.a_ends, self.b_ends = i + 1, j + 1
@@ -202,24 +251,40 @@ class Aligned:
 
     def documents_of_pairs(self, sizes: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Different id pairs and how many texts hold each; ``sizes`` and ``seq`` are the texts' windows."""
-        seen = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(self.n, 1) + seq)
-        text, window = np.divmod(seen, max(self.n, 1))
         starts = np.searchsorted(self.owner, np.arange(self.n + 1))
-        per = starts[window + 1] - starts[window]
-        at = np.repeat(starts[window] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
         code, place = np.unique(self.code, return_inverse=True)
-        held = np.unique(np.repeat(text, per) * max(len(code), 1) + place[at])
-        return code, np.bincount(held % max(len(code), 1), minlength=len(code))
+        total, ends = np.zeros(len(code), np.int64), np.cumsum(sizes)
+        first = 0
+        while first < len(sizes):
+            begin = ends[first] - sizes[first]
+            stop = max(int(np.searchsorted(ends, begin + PLACES, side="right")), first + 1)
+            seen = np.unique(np.repeat(np.arange(stop - first), sizes[first:stop]) * max(self.n, 1) + seq[begin:ends[stop - 1]])
+            text, window = np.divmod(seen, max(self.n, 1))
+            per = starts[window + 1] - starts[window]
+            at = np.repeat(starts[window] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
+            held = np.unique(np.repeat(text, per) * max(len(code), 1) + place[at])
+            total += np.bincount(held % max(len(code), 1), minlength=len(code))
+            first = stop
+        return code, total
 
     def shown(self) -> list[str]:
-        """The groups of each window as text."""
-        a, b = list(map(self.own.a.shown.__getitem__, self.a.tolist())), list(map(self.own.b.shown.__getitem__, self.b.tolist()))
-        out: list[list[str]] = [[] for _ in range(self.n)]
-        i = j = 0
-        for w, p, q in zip(self.window.tolist(), self.a_ends.tolist(), self.b_ends.tolist()):
-            out[w].append(f"{','.join(a[i:p])}|{','.join(b[j:q])}")
-            i, j = p, q
-        return [";".join(g) for g in out]
+        """The groups of each window as text: ids of A, a bar, ids of B, with commas within and semicolons behind a group."""
+        width = self.n_a + self.n_b
+        begin = np.cumsum(width) - width
+        flat, mark = np.empty(int(width.sum()), np.int64), np.zeros(int(width.sum()), np.int64)
+        within_a, within_b = np.arange(len(self.a)), np.arange(len(self.b))
+        flat[np.repeat(begin - (self.a_ends - self.n_a), self.n_a) + within_a] = self.a
+        flat[np.repeat(begin + self.n_a - (self.b_ends - self.n_b), self.n_b) + within_b] = self.b
+        mark[begin + self.n_a - 1], mark[begin + width - 1] = 1, 2
+        size = max(len(self.own.a.raw), len(self.own.b.raw))
+        told = list(map(_marked(size).__getitem__, (mark * size + flat).tolist()))
+        ends = np.cumsum(np.bincount(self.window, width, self.n)).astype(np.int64).tolist()
+        return ["".join(told[p:q])[:-1] for p, q in zip([0, *ends[:-1]], ends)]
+
+
+@lru_cache(maxsize=2)
+def _marked(size: int) -> list[str]:
+    return [f"{i}{m}" for m in ",|;" for i in range(size)]
 
 
 def _block_schema(id_kind: str) -> str:
@@ -235,11 +300,18 @@ def blocks(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text
         own, block = pair(a_path, b_path), TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in by_bytes(batch, "t", BLOCK):
-                sizes, seq, known = windows(own, *own.encode(part.column("t").to_pylist()))
-                held = [np.array([len(k[s]) // side.kind.itemsize for k in known], np.int32).tobytes() for s, side in enumerate((own.a, own.b))]
-                flat = [b"".join([k[s] for k in known]) for s in (0, 1)]
+                texts, ids = own.units(part.column("t").to_pylist())
+                of_unit, unit_seq, known = windows(own, [x for x, _ in ids], [y for _, y in ids])
+                sizes, seq = expanded(texts, of_unit, unit_seq)
+                # Frequent windows have small numbers, which pack well.
+                order = np.argsort(-np.bincount(seq, minlength=len(known)), kind="stable")
+                rank = np.empty(len(known), np.uint32)
+                rank[order] = np.arange(len(known), dtype=np.uint32)
+                seq, known = rank[seq], [known[i] for i in order.tolist()]
                 ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id"))
-                row = [pa.array([x], pa.binary()) for x in (sizes.tobytes(), seq.tobytes(), held[0], flat[0], held[1], flat[1])]
+                flat = [np.frombuffer(b"".join([k[i] for k in known]), side.kind) for i, side in enumerate((own.a, own.b))]
+                held = [np.array([len(k[i]) // side.kind.itemsize for k in known], np.int32) for i, side in enumerate((own.a, own.b))]
+                row = [pa.array([packed(x)], pa.binary()) for x in (sizes, seq, held[0], flat[0], held[1], flat[1])]
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), ids, *row], ["block", "doc_id", "sizes", "seq", "a_sizes", "a", "b_sizes", "b"])
                 block += 1
 
@@ -247,9 +319,8 @@ def blocks(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text
 
 
 def _opened(own: Pair, row: dict) -> tuple[np.ndarray, np.ndarray, Aligned]:
-    aligned = Aligned(own, np.frombuffer(row["a_sizes"], np.int32), np.frombuffer(row["a"], own.a.kind),
-                      np.frombuffer(row["b_sizes"], np.int32), np.frombuffer(row["b"], own.b.kind))
-    return np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["seq"], np.uint32).astype(np.int64), aligned
+    aligned = Aligned(own, unpacked(row["a_sizes"], np.int32), unpacked(row["a"], own.a.kind), unpacked(row["b_sizes"], np.int32), unpacked(row["b"], own.b.kind))
+    return unpacked(row["sizes"], np.int32), unpacked(row["seq"], np.uint32).astype(np.int64), aligned
 
 
 def block_pairs(kept: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -291,7 +362,7 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text:
         n_docs, best = counts.column("n_docs").to_numpy()[at], counts.column("best").to_numpy(zero_copy_only=False)[at].astype(np.int64)
         total = lambda owner, values: np.bincount(owner, values, aligned.n).astype(np.int64)
         exact = lambda owner, values: _sums(owner, values, aligned.n)
-        per = [np.frombuffer(row["a_sizes"], np.int32), np.frombuffer(row["b_sizes"], np.int32), aligned.n_groups,
+        per = [aligned.a_sizes, aligned.b_sizes, aligned.n_groups,
                total(aligned.window, aligned.links), total(aligned.owner, aligned.times * best), exact(aligned.owner, aligned.times * n_docs)]
         ends = np.cumsum(sizes)
         shown = aligned.shown()
