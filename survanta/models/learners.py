@@ -267,7 +267,7 @@ class KNN(Learner):
 
     def fit(self, df, features, label):
         x = F.array(*[F.col(f).cast("double") for f in features])
-        items = df.select(F.col(self.row_id).cast("long").alias("item_id"), x.alias("item_vec"),
+        items = df.select(F.col(self.row_id).alias("item_id"), x.alias("item_vec"),
                           F.col(label).cast("double").alias("_y"))
         return _KNNModel(items, tuple(features), self)
 
@@ -281,7 +281,7 @@ class _KNNModel:
     def score(self, df, name):
         from ..operators.neighbors import nearest
         x = F.array(*[F.col(f).cast("double") for f in self.features])
-        q = df.select(F.col(self.spec.row_id).cast("long").alias("query_id"), x.alias("query_vec"))
+        q = df.select(F.col(self.spec.row_id).alias("query_id"), x.alias("query_vec"))
         hits = nearest(q, self.items.select("item_id", "item_vec"), self.spec.k, "euclidean")
         got = hits.join(self.items.select("item_id", "_y"), "item_id")
         if self.spec.weights == "distance":
@@ -295,7 +295,7 @@ class _KNNModel:
         else:
             out = got.groupBy("query_id").agg(F.avg("_y").alias(name))
         return df.join(out.withColumnRenamed("query_id", "_q"),
-                       F.col(self.spec.row_id).cast("long") == F.col("_q"), "left").drop("_q")
+                       F.col(self.spec.row_id) == F.col("_q"), "left").drop("_q")
 
 
 def classifier(kind: str, **params) -> Learner:

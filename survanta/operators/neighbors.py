@@ -1,81 +1,136 @@
-"""Exact top-k search over vectors, without emitting all pairs.
+"""Exact top-k search over vectors by pivots, without emitting all pairs.
 
-Both sides are cut into blocks of bounded size by a hash of the row id. One task
-compares one query block with one item block in NumPy and keeps k rows per query;
-the kept rows are merged per query. With a single query block (few queries), the
-block travels to the items and the items are not shuffled.
+A bounded sample of items serves as pivots. Each item belongs to its nearest pivot and knows its distance to it. By the
+triangle inequality the distances of a query to the pivots bound its distance to a whole group of items, from both sides:
+groups that are near for sure give an upper bound for its k-th distance, and groups that lie beyond that bound are never
+compared with it. Inside a group, items whose own bound is beyond it are left out before distances are formed. Groups and
+their queries are cut into blocks of bounded size; each pair of blocks is one piece of work that keeps k rows per query.
+There is one plan at every size.
+
+Inner products are searched as distances: with one more coordinate that brings all items to the same length, the item with
+the largest product is the nearest one.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-OUT = "query_id long, item_id long, score double"
 QUERY_BLOCK = 2000
 ITEM_BLOCK = 20000
-
-
-def _best(qids, qmat, iids, imat, k: int, metric: str, floor: float | None):
-    """k best items per query, ties by smaller item id."""
-    parts = []
-    for qid, q in zip(qids, qmat):
-        s = imat @ q if metric == "dot" else -((imat - q) ** 2).sum(axis=1)
-        s = np.round(s, 12)
-        near = np.arange(len(s))
-        if len(s) > k:
-            near = np.flatnonzero(s >= -np.partition(-s, k - 1)[k - 1])
-        if floor is not None:
-            near = near[s[near] > floor]
-        near = near[np.lexsort((iids[near], -s[near]))[:k]]
-        parts.append(pd.DataFrame({"query_id": qid, "item_id": iids[near], "score": s[near]}))
-    return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+PIVOTS = 64
+#: Room for rounding in bounds; scores that agree to 12 decimals are ties.
+SLACK = 1e-6
 
 
 def _stack(col) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col])
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, metric: str = "dot",
-            floor: float | None = None) -> DataFrame:
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0.0))
+
+
+def _lifted(x: np.ndarray, longest: float | None) -> np.ndarray:
+    """Items with the coordinate that makes their length ``longest``; unchanged for distances."""
+    if longest is None:
+        return x
+    return np.column_stack([x, np.sqrt(np.maximum(longest ** 2 - (x * x).sum(1), 0.0))])
+
+
+def _placed(items: DataFrame, pivots: np.ndarray, longest: float | None) -> DataFrame:
+    kind = items.schema["item_id"].dataType.simpleString()
+
+    def place(batches):
+        for b in batches:
+            if len(b):
+                d = _distances(_lifted(_stack(b["item_vec"]), longest), pivots)
+                near = d.argmin(axis=1)
+                yield pd.DataFrame({"item_id": b["item_id"], "item_vec": b["item_vec"], "pivot": near.astype(np.int32), "r": d[np.arange(len(d)), near]})
+
+    return items.select("item_id", "item_vec").mapInPandas(place, f"item_id {kind}, item_vec array<double>, pivot int, r double")
+
+
+def _compare(a: pd.DataFrame, b: pd.DataFrame, k: int, metric: str, floor: float | None) -> pd.DataFrame:
+    """k best items of the block per query, ties by smaller item id; ``seen``: how many distances were formed."""
+    out = []
+    if len(a) and len(b):
+        x, r = _stack(b["item_vec"]), b["r"].to_numpy()
+        ids = b["item_id"].to_numpy()
+        place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+        for qid, q, d, far in zip(a["query_id"], _stack(a["query_vec"]), a["d"], a["far"]):
+            at = np.flatnonzero(np.abs(r - d) <= far)
+            if not len(at):
+                continue
+            s = np.round(x[at] @ q if metric == "dot" else -((x[at] - q) ** 2).sum(axis=1), 12)
+            seen = len(at)
+            if len(s) > k:
+                keep = s >= -np.partition(-s, k - 1)[k - 1]
+                at, s = at[keep], s[keep]
+            if floor is not None:
+                at, s = at[s > floor], s[s > floor]
+            best = np.lexsort((place[at], -s))[:k]
+            out.append(pd.DataFrame({"query_id": [qid] * len(best), "item_id": ids[at[best]], "score": s[best], "seen": [seen] + [0] * (len(best) - 1) if len(best) else []}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "item_id": [], "score": [], "seen": []})
+
+
+def compared(queries: DataFrame, items: DataFrame, k: int, metric: str = "dot", floor: float | None = None) -> DataFrame:
+    """``query_id, item_id, score, seen``: the k best of each block that a query was compared with; ``seen`` adds up to the
+    number of distances formed (for blocks that gave a row)."""
+    spark = items.sparkSession
+    longest = None
+    if metric == "dot":
+        squares = F.aggregate("item_vec", F.lit(0.0), lambda t, v: t + v.cast("double") * v.cast("double"))
+        longest = float(np.sqrt(items.agg(F.max(squares)).first()[0] or 0.0))
+    out = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, score double, seen long"
+    sample = items.select("item_vec").orderBy(F.xxhash64("item_id")).limit(PIVOTS).toPandas()
+    if sample.empty:
+        return spark.createDataFrame([], out)
+    pivots = _lifted(_stack(sample["item_vec"]), longest)
+    placed = _placed(items, pivots, longest)
+    groups = {r["pivot"]: r for r in placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()}  # one row per pivot
+    order = sorted(groups)
+    n, lo, hi = (np.array([groups[p][c] for p in order], float) for c in ("n", "lo", "hi"))
+    blocks = np.ceil(n / ITEM_BLOCK).astype(int)
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def route(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            q = _stack(b["query_vec"])
+            d = _distances(np.column_stack([q, np.zeros(len(q))]) if longest is not None else q, pivots[order])
+            # Groups by their farthest item: the first ones that hold k items bound the k-th distance.
+            by = np.argsort(d + hi, axis=1)
+            held = np.take_along_axis(np.broadcast_to(n, d.shape), by, 1).cumsum(axis=1)
+            enough = np.argmax(held >= k, axis=1)
+            far = np.where(held[:, -1] >= k, np.take_along_axis(d + hi, by, 1)[np.arange(len(q)), enough], np.inf) + SLACK
+            rows, group = np.nonzero(np.maximum(d - hi, lo - d) <= far[:, None])
+            yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[rows], "query_vec": b["query_vec"].to_numpy()[rows], "d": d[rows, group], "far": far[rows],
+                                "pivot": np.array(order, np.int32)[group], "blocks": blocks[group].astype(np.int32)})
+
+    routed = queries.select("query_id", "query_vec").mapInPandas(
+        route, f"query_id {kind}, query_vec array<double>, d double, far double, pivot int, blocks int")
+    # How many queries a group gets decides into how many blocks they are cut.
+    several = F.broadcast(routed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("q_blocks")))  # one row per pivot
+    part = lambda c, m: F.pmod(F.xxhash64(c), m).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
+    q = routed.join(several, "pivot").select("query_id", "query_vec", "d", "far", "pivot", part("query_id", F.col("q_blocks")).alias("qb"), every(F.col("blocks")).alias("ib"))
+    sizes = F.broadcast(spark.createDataFrame([(int(p), int(m)) for p, m in zip(order, blocks)], "pivot int, blocks int"))
+    i = placed.join(sizes, "pivot").join(several, "pivot").select("item_id", "item_vec", "r", "pivot", part("item_id", F.col("blocks")).alias("ib"), every(F.col("q_blocks")).alias("qb"))
+    keys = ["pivot", "ib", "qb"]
+    return q.groupBy(*keys).cogroup(i.groupBy(*keys)).applyInPandas(lambda a, b: _compare(a, b, k, metric, floor), out)
+
+
+def nearest(queries: DataFrame, items: DataFrame, k: int, metric: str = "dot", floor: float | None = None) -> DataFrame:
     """Top ``k`` items per query.
 
-    ``queries(query_id, query_vec)``, ``items(item_id, item_vec)`` -> ``query_id,
-    item_id, score, rank``. ``metric``: ``dot`` (higher is better) or ``euclidean``
-    (score is minus the squared distance). ``floor`` drops scores at or below it.
+    ``queries(query_id, query_vec)``, ``items(item_id, item_vec)`` -> ``query_id, item_id, score, rank``; ids are of any type.
+    ``metric``: ``dot`` (higher is better) or ``euclidean`` (score is minus the squared distance). ``floor`` drops scores at
+    or below it.
     """
-    n_queries = queries.limit(QUERY_BLOCK + 1).count()
-    if n_queries <= QUERY_BLOCK:
-        block = queries.select("query_id", "query_vec").toPandas()  # at most QUERY_BLOCK rows
-        if block.empty:
-            found = items.sparkSession.createDataFrame([], OUT)
-        else:
-            qids, qmat = block["query_id"].to_numpy(), _stack(block["query_vec"])
-
-            def scan(batches):
-                for b in batches:
-                    if len(b):
-                        yield _best(qids, qmat, b["item_id"].to_numpy(), _stack(b["item_vec"]), k, metric, floor)
-
-            found = items.select("item_id", "item_vec").mapInPandas(scan, OUT)
-    else:
-        nq = math.ceil(queries.count() / QUERY_BLOCK)
-        ni = max(1, math.ceil(items.count() / ITEM_BLOCK))
-        part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        q = queries.select("query_id", "query_vec", part("query_id", nq).alias("qb"), every(ni).alias("ib"))
-        i = items.select("item_id", "item_vec", part("item_id", ni).alias("ib"), every(nq).alias("qb"))
-
-        def compare(a, b):
-            if a.empty or b.empty:
-                return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-            return _best(a["query_id"].to_numpy(), _stack(a["query_vec"]),
-                         b["item_id"].to_numpy(), _stack(b["item_vec"]), k, metric, floor)
-
-        found = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(compare, OUT)
+    found = compared(queries, items, k, metric, floor).drop("seen")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

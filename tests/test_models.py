@@ -157,3 +157,32 @@ def test_every_published_method_can_be_built():
     assert len(every) == 19
     for m in every:
         m.make(**m.settings()[0])
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "dot"])
+def test_pivots_give_the_neighbours_of_brute_force(spark, metric):
+    """Clusters, vectors of different lengths, ties and text ids; far fewer distances than pairs."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 4)) * 20
+    x = np.round(centres[rng.integers(0, 12, 900)] + rng.normal(size=(900, 4)), 1)
+    x[100:110] = x[99]
+    ids = [f"row {j:04d}" for j in range(900)]
+    i = spark.createDataFrame(list(zip(ids, x.tolist())), "item_id string, item_vec array<double>")
+    q = spark.createDataFrame(list(zip(ids[:60] + ["other"], x[:60].tolist() + [[0.0] * 4])), "query_id string, query_vec array<double>")
+    got = {}
+    for r in nearest(q, i, 5, metric).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["item_id"]))
+    for name, v in zip(ids[:60] + ["other"], [*x[:60], np.zeros(4)]):
+        s = np.round(x @ v if metric == "dot" else -((x - v) ** 2).sum(axis=1), 12)
+        want = sorted(range(900), key=lambda j: (-s[j], ids[j]))[:5]
+        assert [j for _, j in sorted(got[name])] == [ids[j] for j in want]
+    formed = neighbors.compared(q, i, 5, metric).agg(F.sum("seen")).first()[0]
+    assert formed < (0.4 if metric == "euclidean" else 0.8) * 61 * 900
+    assert nearest(q, i.limit(0), 5, metric).count() == 0 and nearest(q.limit(0), i, 5, metric).count() == 0
+
+
+def test_neighbour_learner_takes_text_ids(data):
+    rows = data.withColumn("row_id", F.concat(F.lit("id "), F.col("row_id")))
+    m = regressor("knn_regressor", n_neighbors=3, weights="distance").fit(rows, ["a"], "time")
+    got = m.score(rows, "p").select("p", "time").toPandas()
+    assert np.allclose(got["p"], got["time"], atol=60) and got["p"].notna().all()
