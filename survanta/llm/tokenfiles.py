@@ -3,7 +3,8 @@
 Documents are range-partitioned and sorted by id; each partition becomes one shard of three files, so that shard after
 shard holds the documents in ascending order of id:
 
-* ``shard-NNNNN.bin``: the ids of its documents, unsigned little-endian integers of 32 or 16 bits, nothing else;
+* ``shard-NNNNN.bin``: the ids of its documents, unsigned little-endian integers of 16 or 32 bits, nothing else; 16 bits
+  where the vocabulary and the end id fit, unless a width is asked for;
 * ``shard-NNNNN.off``: signed 64-bit offsets in ids, one per document and one at the end, starting at 0;
 * ``shard-NNNNN.doc``: the document ids, signed 64-bit.
 
@@ -27,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from tokenizers import Tokenizer
 
 from . import bpe
 
@@ -56,9 +58,10 @@ def _flat(enc: bpe.Encoder, texts: list[str | None], end: int, kind: np.dtype) -
 
 
 def write(df: DataFrame, folder: str, tokenizer: str, end: int = 2, id_col: str = "doc_id", text: str = "text",
-          width: int = 4, shards: int | None = None) -> DataFrame:
-    """Writes the shards and the manifest under ``folder``; gives the manifest (shard, n_docs, n_tokens, doc_base, base)."""
+          width: int | None = None, shards: int | None = None) -> DataFrame:
+    """Writes the shards and the manifest under ``folder``; gives the manifest (shard, n_docs, n_tokens, doc_base, base, width)."""
     spark = df.sparkSession
+    width = width or width_for(tokenizer, end)
     kind = np.dtype("<u4" if width == 4 else "<u2")
     fs, path = _where(folder)
     fs.create_dir(path)
@@ -93,7 +96,13 @@ def write(df: DataFrame, folder: str, tokenizer: str, end: int = 2, id_col: str
 
     totals = rows.mapInArrow(shard, "shard int, n_docs long, n_tokens long")
     totals.write.parquet(f"{folder}/totals")
-    return bases(spark.read.schema(totals.schema).parquet(f"{folder}/totals"))
+    return bases(spark.read.schema(totals.schema).parquet(f"{folder}/totals")).withColumn("width", F.lit(width))
+
+
+def width_for(tokenizer: str, end: int) -> int:
+    """Bytes of an id: 2 where all ids of the vocabulary and the end id fit, else 4."""
+    highest = max([end, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()])
+    return 2 if highest < 1 << 16 else 4
 
 
 def bases(totals: DataFrame) -> DataFrame:
@@ -110,25 +119,26 @@ def _values(fs: pafs.FileSystem, name: str, kind: str) -> np.ndarray:
         return np.frombuffer(f.read(), kind)
 
 
-def read(manifest: DataFrame, folder: str, width: int = 4) -> DataFrame:
-    """A row per document from the files: doc_id, start (ids of all documents before), n_tokens, ids_crc32 (unsigned, over
-    the ids as they lie in the file)."""
+def read(manifest: DataFrame, folder: str, width: int | None = None, crc_width: int | None = None) -> DataFrame:
+    """A row per document from the files: doc_id, start (ids of all documents before), n_tokens, ids_crc32 (unsigned, over the
+    ids as they lie in the file, or as integers of ``crc_width`` bytes). ``width`` is the manifest's unless given."""
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def documents(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, path = _where(folder)
         for part in parts:
-            for shard, base in zip(part["shard"], part["base"]):
+            for shard, base, size in zip(part["shard"], part["base"], part["width"]):
                 name = f"{path}/shard-{shard:05d}"
-                ids = _values(fs, f"{name}.bin", "<u4" if width == 4 else "<u2")
+                ids = _values(fs, f"{name}.bin", "<u4" if size == 4 else "<u2")
                 off, doc = _values(fs, f"{name}.off", "<i8"), _values(fs, f"{name}.doc", "<i8")
                 for a in range(0, len(doc), 10_000):
                     b = min(a + 10_000, len(doc))
                     own = pd.Series(np.array(doc[a:b]), dtype="Int64").mask(np.array(doc[a:b]) == NO_ID)
                     yield pd.DataFrame({"doc_id": own, "start": base + off[a:b], "n_tokens": np.diff(off[a:b + 1]),
-                                        "ids_crc32": [zlib.crc32(ids[off[i]:off[i + 1]]) for i in range(a, b)]})
+                                        "ids_crc32": [zlib.crc32(ids[off[i]:off[i + 1]].astype(f"<u{crc_width or size}")) for i in range(a, b)]})
 
-    return (manifest.select("shard", "base").repartition(n, "shard")
+    size = F.lit(width) if width else F.col("width")
+    return (manifest.select("shard", "base", size.cast("int").alias("width")).repartition(n, "shard")
             .mapInPandas(documents, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 

@@ -14,4 +14,4 @@ from .shared import new_path
 def op9_token_files(spark, sf_dir):
     folder = new_path(spark, "token-files")
     manifest = tokenfiles.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER))
-    return tokenfiles.read(manifest, folder)
+    return tokenfiles.read(manifest, folder, crc_width=4)
