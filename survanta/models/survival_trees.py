@@ -1,7 +1,7 @@
 """Survival trees and their ensembles on the common grower.
 
 Features and times are cut into quantile bins, so a split is exact when a feature and the time have no more distinct values
-than bins, and approximate otherwise. Leaves hold their subjects and events by time bin as sparse entries; curves are formed
+than bins, and approximate otherwise; ``bins=None`` and ``time_bins=None`` make every distinct value a cut. Leaves hold their subjects and events by time bin as sparse entries; curves are formed
 where they are read. Depth is unlimited unless set.
 """
 

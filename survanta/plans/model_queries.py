@@ -107,7 +107,7 @@ SELECT criterion, f AS feature, cut AS threshold, l AS n_left, r AS n_right FROM
 def survival_root_splits(spark, sf_dir):
     df, rows = coarse(spark, sf_dir).persist(), []
     for criterion in ("logrank", "wilcoxon", "tarone-ware"):
-        m = SurvivalTree(max_depth=1, min_leaf=20, criterion=criterion).fit(df, ["x1", "x2"])
+        m = SurvivalTree(max_depth=1, min_leaf=20, criterion=criterion, bins=None, time_bins=None).fit(df, ["x1", "x2"])
         rows += [(criterion, *r[1:]) for r in m.forest.root_splits(m.binning)]
     df.unpersist()
     return spark.createDataFrame(rows, ROOT)

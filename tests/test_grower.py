@@ -202,3 +202,12 @@ def test_fifty_deep_trees(spark, depth):
     leaves, nodes = int((model.forest.feature < 0).sum()), len(model.forest.feature)
     assert nodes == 2 * leaves - 50 and nodes < 50 * 2 * 15_000 / 20
     assert (np.diff(curves(model, df.limit(500)), axis=1) <= 1e-12).all()
+
+
+def test_exact_bins_try_every_cut(spark):
+    """With more values than bins, bins=None still finds the best cut that quantile bins step over (survival_root_splits)."""
+    rows = [(i * 40 + x, float(x), 10.0 + (x > 5) * 10.0 + i % 3, True) for x in range(40) for i in range(30)]
+    df = spark.createDataFrame(rows, "row_id long, x1 double, time double, cens boolean")
+    exact = SurvivalTree(max_depth=1, min_leaf=20, criterion="logrank", bins=None, time_bins=None).fit(df, ["x1"])
+    assert exact.binning.edges[0] == [float(x) for x in range(40)]
+    assert exact.forest.root_splits(exact.binning)[0][1:] == ("x1", 5.0, 180.0, 1020.0)
