@@ -106,6 +106,18 @@ def test_scores_odd_and_base(odd):
     assert all(r["score"] < 0 and r["train_tokens"] == n for r in got)
 
 
+
+def test_class_mixtures_use_every_training_text(spark):
+    """The word classes are those of ``fit_classes`` over all distinct training texts, not of the first 2000 by hash."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "e", "f", "g", "h"][k % 2 * 4:k % 2 * 4 + 4]) for _ in range(6)) + f" t{k}" for k in range(2300)]
+    rows = spark.createDataFrame([(t, k % 10 == 0) for k, t in enumerate(texts)], "t string, held boolean")
+    got = mixing.class_mixtures(rows)
+    hashed = rows.filter("NOT held").select("t", F.xxhash64("t").alias("h")).collect()
+    want = mixing.fit_classes([Counter(mixing.words_of(r["t"])) for r in sorted(hashed, key=lambda r: r["h"])])
+    assert got.words == want.words
+    np.testing.assert_allclose(got.logs, want.logs, rtol=1e-9, atol=1e-9)
+
 def test_bits_of_all_bytes_sum_to_one():
     """The next byte's probabilities, over all 256, are a distribution."""
     counts = np.zeros((len(mixing.ORDERS), 1 << mixing.SLOTS, 2))
