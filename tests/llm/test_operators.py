@@ -83,6 +83,20 @@ def test_passages_found_and_clean_left_alone(spark):
     assert got[3]["end"] - got[3]["start"] >= 75 and got[3]["share"] > 0.9
 
 
+def test_passages_shared_by_later_holders(spark):
+    """Document 1 holds every seed of the passage, but only in short pieces out of order; 2 and 3 share it whole."""
+    rng = random.Random(7)
+    vocab = [f"w{i}" for i in range(5000)]
+    fresh = lambda n: [rng.choice(vocab) for _ in range(n)]
+    shared = fresh(80)
+    pieces = [shared[i:i + 20] for i in range(0, 61, 5)][::-1]
+    texts = {1: [w for p in pieces for w in p + fresh(40)], 2: fresh(30) + shared, 3: fresh(50) + shared + fresh(20)}
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    got = {(r["doc_id"], r["match_id"]): r for r in passages.passages(df).collect()}
+    assert set(got) == {(3, 2)}
+    assert (got[3, 2]["start"], got[3, 2]["end"], got[3, 2]["match_start"], got[3, 2]["match_end"]) == (50, 130, 30, 110)
+
+
 def test_passages_odd(odd):
     got = passages.passages(odd).collect()
     assert {(r["doc_id"], r["match_id"]) for r in got} == {(6, 5)}
