@@ -211,3 +211,26 @@ def test_exact_bins_try_every_cut(spark):
     exact = SurvivalTree(max_depth=1, min_leaf=20, criterion="logrank", bins=None, time_bins=None).fit(df, ["x1"])
     assert exact.binning.edges[0] == [float(x) for x in range(40)]
     assert exact.forest.root_splits(exact.binning)[0][1:] == ("x1", 5.0, 180.0, 1020.0)
+
+
+def test_a_subtree_is_counted_once_per_level_as_node_by_node(monkeypatch):
+    """Small nodes of one level share a histogram pass; the tree, its leaves and their sums are those of one node at a time."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 32, (4000, 2))
+    y = (rng.random(4000) < 0.3).astype(float)
+    w = grower.draws(rng.integers(0, 1 << 62, 4000), 0, 1.0, 42)
+    x, y, w = x[w > 0], y[w > 0], w[w > 0]
+    spec = Spec(Gini(), 32, 1, 1, 30, 5, 10, 1, 1.0, (), seed=42, rows=4000)
+    calls, count = [], np.bincount
+    monkeypatch.setattr(grower.np, "bincount", lambda *a, **k: calls.append(1) or count(*a, **k))
+    made = grower.grow_rows(x, np.zeros(len(x), int), y, w, spec, 0, 1, 0)
+    monkeypatch.undo()
+    # Channel 1 alone takes the path of one node at a time; a single channel leaves every gain as it is.
+    plain = grower.grow_rows(x, np.ones(len(x), int), y, w, spec, 0, 1, 0)
+    assert len(made.feature) == len(plain.feature) > 100
+    assert len(calls) <= 2 * 31
+
+    def leaf_sums(nodes):
+        forest = Forest.of(nodes, np.array([0]), 2)
+        return forest.sums[forest.start[forest.walk(x)[:, 0]]]
+    assert np.array_equal(leaf_sums(made), leaf_sums(plain))
