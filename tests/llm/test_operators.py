@@ -97,6 +97,32 @@ def test_passages_shared_by_later_holders(spark):
     assert (got[3, 2]["start"], got[3, 2]["end"], got[3, 2]["match_start"], got[3, 2]["match_end"]) == (50, 130, 30, 110)
 
 
+def test_passages_at_a_later_place_of_their_holder(spark):
+    """Document 1 holds the passage in short pieces out of order and whole after them; 2 holds it whole."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(5000)]
+    fresh = lambda n: [rng.choice(vocab) for _ in range(n)]
+    shared = fresh(80)
+    pieces = [w for i in range(60, -1, -5) for w in shared[i:i + 20] + fresh(40)]
+    texts = {1: pieces + shared, 2: fresh(30) + shared}
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    got = [tuple(r[c] for c in ("doc_id", "match_id", "start", "end", "match_start", "match_end")) for r in passages.passages(df).collect()]
+    assert got == [(2, 1, 30, 110, len(pieces), len(pieces) + 80)]
+
+
+def test_passages_that_overlap_in_part_all_stay(spark):
+    """Document 4 shares words 0-100 with 2 and 70-200 with 3; document 1 holds only pieces. Neither passage hides the other."""
+    rng = random.Random(13)
+    vocab = [f"w{i}" for i in range(5000)]
+    fresh = lambda n: [rng.choice(vocab) for _ in range(n)]
+    shared = fresh(200)
+    pieces = [w for i in range(180, -1, -5) for w in shared[i:i + 20] + fresh(40)]
+    texts = {1: pieces, 2: fresh(30) + shared[:100], 3: fresh(20) + shared[70:], 4: shared}
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    got = {(r["doc_id"], r["match_id"]): (r["start"], r["end"]) for r in passages.passages(df).collect()}
+    assert got[4, 2] == (0, 100) and got[4, 3] == (70, 200)
+
+
 def test_passages_odd(odd):
     got = passages.passages(odd).collect()
     assert {(r["doc_id"], r["match_id"]) for r in got} == {(6, 5)}
