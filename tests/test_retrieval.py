@@ -178,3 +178,28 @@ def test_questions_sort_only_the_postings_of_their_terms(spark, monkeypatch):
     assert sorted([(r[0], r[1]) for r in got]) == [(1, 0), (1, 1), (1, 3), (2, 2), (2, 3)]
     rows = lambda df: sorted((r["term"], r["part"], r["block"], r["top"], sorted(map(tuple, r["list"]))) for r in df.collect())
     assert rows(build(asked)) == rows(idx["blocks"].where(F.col("term").isin("aa", "bb", "aa bb", "ff")))
+
+
+def test_norms_from_packed_postings(spark, monkeypatch):
+    """Chunks' norms over all terms, however the postings are cut into packs and buckets, and the packing of numbers."""
+    texts = ["aa bb cc dd aa", "aa bb ee", "", None, "ff gg hh", "aa ff"]
+    c = frame(spark, [(i, "s", "t", t) for i, t in enumerate(texts)])
+    counts = R.term_counts(c, "chunk_id", R.with_bigrams(R.words(F.col("text"))))
+    raw = counts.join(R._idf(counts, c), "term").groupBy("chunk_id").agg(F.sqrt(F.sum(((1 + F.ln("n")) * F.col("idf")) ** 2)).alias("w"))
+    want = sorted((r[0], round(r[1], 12)) for r in raw.collect())
+    for terms, chars in ((1 << 22, 1 << 23), (1, 1)):
+        monkeypatch.setattr(R, "PACK_TERMS", terms)
+        monkeypatch.setattr(R, "BUCKET_CHARS", chars)
+        assert sorted((r[0], round(r[1], 12)) for r in R._norms(c).collect()) == want
+    for values in ([0], [1, 255, 256, 0], [2 ** 64 - 1, 5]):
+        assert R._opened(R._shut(R.np.array(values, R.np.uint64))).tolist() == values
+
+
+def test_a_search_shuffles_no_posting_of_other_terms(spark, monkeypatch):
+    """Only the questions' terms are counted by themselves; the other terms of a chunk go into its norm."""
+    c = frame(spark, [(i, "s", "t", t) for i, t in enumerate(["aa bb cc dd", "aa bb ee", "ff gg hh"])])
+    q = spark.createDataFrame([(1, "aa")], "query_id long, text string")
+    idx, rows, count = R.index(c), [], R.row_term_counts
+    monkeypatch.setattr(R, "row_term_counts", lambda *a, **k: rows.append(count(*a, **k)) or rows[-1])
+    R.query_tfidf(idx, q, 6).collect()
+    assert sorted((r["chunk_id"], r["term"]) for r in rows[-1].collect()) == [(0, "aa"), (1, "aa")]
